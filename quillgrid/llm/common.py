@@ -58,3 +58,10 @@ def size_in_words(text):
     return F.when(F.length(folded) == 0, F.lit(0).cast("long")).otherwise(
         (F.length(folded) - F.length(F.replace(folded, F.lit(" "), F.lit(""))) + 1).cast("long")
     )
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}

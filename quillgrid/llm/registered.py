@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL."""
 
-from . import token_counts
+from . import packing, secret_scan, sharding, token_counts
 
-_MODULES = (token_counts,)
+_MODULES = (packing, secret_scan, token_counts, sharding)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

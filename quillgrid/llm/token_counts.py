@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tokenizer_path, two_columns
+from .common import byte_letters, table, tokenizer_path, two_columns
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Pieces that a worker remembers; beyond, its memory starts anew.
@@ -72,7 +72,7 @@ class Counter:
 
 def whole_tokens(tokenizer) -> frozenset[str]:
     """The proof, made once: strings of the vocabulary, without their word end, that encode alone as one token."""
-    end, decode = "</w>", _byte_letters()
+    end, decode = "</w>", byte_letters()
     strings = []
     for k in tokenizer.get_vocab(with_added_tokens=False):
         if k.endswith(end) and k != end:
@@ -84,13 +84,6 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, found, strict=True) if len(e) == 1)
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter by which byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on."""
-    own = [b for b in range(256) if chr(b).isprintable() and b != 32]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 _WORKERS: dict[str, Counter] = {}
 
 
