@@ -300,7 +300,7 @@ def _sql() -> str:
     for k, r in enumerate(RULES):
         p = r.pattern.replace("'", "''")
         made.append(
-            f"SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), i -> {{'s': list_sum(list_transform(p[:i], x -> length(x))) + coalesce(list_sum(list_transform(m[:i-1], x -> length(x))), 0), 'w': length(m[i]), 'g': length(g[i])}})) AS x, {k} AS k, '{r.kind}' AS kind, {r.least} AS least"
+            f"SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0), 'w': length(m[i]), 'g': length(g[i])}})) AS x, {k} AS k, '{r.kind}' AS kind, {r.least} AS least"
             f" FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS g FROM d WHERE regexp_matches(t, '{p}'))"
         )
     return (
