@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL."""
 
-from . import mixing, packing, secret_scan, sharding, token_counts, topk
+from . import mixing, packing, secret_scan, sharding, token_counts, topk, toxicity
 
-_MODULES = (packing, secret_scan, token_counts, sharding, topk, mixing)
+_MODULES = (packing, secret_scan, token_counts, sharding, toxicity, topk, mixing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
