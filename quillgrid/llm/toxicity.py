@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table, two_columns
 
@@ -282,7 +283,7 @@ def score(df: DataFrame, model: bytes | None, text_col: str = "text", name: str
     """The rows with their score as a further column, the last. No shuffle."""
     if model is None:
         return df.withColumn(name, F.lit(0.0))
-    kind, at = df.schema.add(name, "double"), df.columns.index(text_col)
+    kind, at = StructType([*df.schema.fields, StructField(name, DoubleType())]), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
