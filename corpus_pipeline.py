@@ -1,12 +1,53 @@
-"""The corpus pipeline: stages that each take the documents kept so far."""
+"""The corpus pipeline: stages that each take all documents that the one before has kept.
+
+Toxic documents go, one document of each group of near duplicates stays, secrets are masked, sources are mixed to
+their target weights (documents are left out or repeated), and what is left is packed into sequences. All but
+the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgrid.llm import mixing, ngram_join, packing, secret_scan, toxicity
+from quillgrid.llm.common import stored, table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine, trained on those of them that are labelled, doesn't reject."""
+    names = docs.columns
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), name="_score")
+    return scored.filter(F.col("_score") < 0.5).select(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked."""
+    return secret_scan.redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences that all documents are packed into."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
-from quillgrid.llm.common import stored, table
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: No SQL: a trained machine and draws by hash stand in the way; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

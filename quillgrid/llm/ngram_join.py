@@ -278,10 +278,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group stays. Rows of null id stay."""
-    found = near_duplicates(df, id_col, text_col)
+    """The rows whose id names their component: one document of each group stays. Of rows that share an id one stays; rows of null id stay."""
+    found = stored(near_duplicates(df, id_col, text_col))
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    kept = df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_gone"))
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(repeated, kept[id_col] == F.col("_gone"), "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, kept[id_col] == F.col("_gone"), "left_anti").unionByName(one)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
