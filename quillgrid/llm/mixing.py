@@ -69,7 +69,7 @@ def _fold(items):
         whole = F.filter(pair, lambda i: (i["x"] <= 0.0) | (i["x"] >= 1.0))
         left = F.filter(pair, lambda i: (i["x"] > 0.0) & (i["x"] < 1.0))
         done = F.transform(whole, lambda i: F.struct(i["row"].alias("row"), F.when(i["x"] >= 1.0, 1).otherwise(0).alias("more")))
-        return F.when(a.isNull(), F.struct(state["done"].alias("done"), b.cast(_ITEM).alias("left"))).otherwise(
+        return F.when(a.isNull(), F.struct(state["done"].alias("done"), moved(b, b["x"]).cast(_ITEM).alias("left"))).otherwise(
             F.struct(F.concat(state["done"], done).alias("done"), F.get(left, F.lit(0)).alias("left"))
         )
 
@@ -128,7 +128,7 @@ def _flips(taken: DataFrame) -> DataFrame:
     near = near.filter((F.col("size") <= F.abs("error")) & (F.col("more") == F.when(F.col("error") > 0, 0).otherwise(1)))
     place = F.row_number().over(Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("key", "row"))
     near = near.withColumn("place", place).filter(F.col("place") <= POOL)
-    pool = near.groupBy("source").agg(F.abs(F.max("error")).alias("error"), F.reverse(F.array_sort(F.collect_list(F.struct("size", "row")))).alias("pool"))
+    pool = near.groupBy("source").agg(F.abs(F.max("error")).alias("error"), F.reverse(F.array_sort(F.collect_list(F.struct("size", "key", "row")))).alias("pool"))
     start = F.struct(F.col("error").alias("left"), F.expr("cast(array() as array<bigint>)").alias("rows"))
 
     def take(state, i):
