@@ -56,6 +56,7 @@ def _summary(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(SKETCH, np.int64), [], 0
+        few = SKETCH // 4
         rows: list[tuple] = []
 
         def rows_out() -> pa.RecordBatch:
@@ -68,8 +69,8 @@ def _summary(docs: DataFrame) -> DataFrame:
             rows.append((doc_id, len(s), *_signature(s)))
             held.append(s)
             size += len(s)
-            if size > SKETCH:
-                counts += np.bincount(np.concatenate(held) % np.uint64(SKETCH), minlength=SKETCH)
+            if size > few:
+                counts += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
                 held, size = [], 0
             if len(rows) == 4096:
                 yield rows_out()
@@ -142,7 +143,8 @@ def _prefixes(docs: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
-    """(key, doc, n, at, lead, lead_n, lead_at): each document of a shingle but the one that has it foremost, with that one."""
+    """(key, doc, n, at, lead, lead_n, lead_at, more): each document of a shingle but the one that has it foremost, with that one;
+    more is false for one that is surely the only other."""
     dealt = prefixes.repartition("key").sortWithinPartitions("key", "at", "n", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +166,12 @@ def _members(prefixes: DataFrame) -> DataFrame:
                 carried = (key[-1], doc[lead[-1]], n[lead[-1]], at[lead[-1]])
             keep = found[0] != doc[rest]
             if keep.any():
-                columns = [x[rest][keep] for x in (key, doc, n, at)] + [x[keep] for x in found]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "doc", "n", "at", "lead", "lead_n", "lead_at"])
+                follows = np.concatenate([key[1:] == key[:-1], [True]])  # the next batch may go on
+                more = (own < 0) | (rest - own > 1) | follows[rest]
+                columns = [x[rest][keep] for x in (key, doc, n, at)] + [x[keep] for x in found] + [more[keep]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "doc", "n", "at", "lead", "lead_n", "lead_at", "more"])
 
-    return dealt.mapInArrow(run, "key long, doc long, n int, at int, lead long, lead_n int, lead_at int")
+    return dealt.mapInArrow(run, "key long, doc long, n int, at int, lead long, lead_n int, lead_at int, more boolean")
 
 
 def _can_link(n, at, m, to):
@@ -238,22 +242,46 @@ def _blocks(rest: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("key", "doc", "n", "at", "root", "k", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"))
 
-    def meet(t: pa.Table) -> pa.Table:
-        doc, n, at, root, k, lo, hi = (t[c].to_numpy() for c in ("doc", "n", "at", "root", "k", "lo", "hi"))
-        left, right = (np.flatnonzero(k == lo), np.flatnonzero(k == hi))
-        out = []
-        for part in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
-            i, j = part[:, None], right[None, :]
-            small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-            fewer = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)
-            ok = (root[i] != root[j]) & (100 * small >= PER_CENT * large) & ((100 + PER_CENT) * fewer >= PER_CENT * (small + large)) & (doc[i] != doc[j])
-            u, v = np.nonzero(ok)
-            a, b = doc[part[u]], doc[right[v]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last run, which the next batch may go on with
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            key, _, _, _, _, _, lo, hi = held
+            new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            if len(new):
+                yield from _met([c[: new[-1]] for c in held], np.concatenate([[0], new]))
+                held = [c[new[-1] :] for c in held]
+        if held is not None and len(held[0]):
+            yield from _met(held, np.array([0, len(held[0])]))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+#: Pairs that are looked at together.
+TOGETHER = 500_000
+
+
+def _met(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole runs of rows; runs of one size are taken together."""
+    _, doc, n, at, root, k, lo, hi = columns
+    sizes = np.diff(bounds)
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        starts = bounds[:-1][sizes == size]
+        for row in range(size - 1):  # each row of a run with all after it
+            step = max(1, TOGETHER // (size - row))
+            for part in range(0, len(starts), step):
+                i = starts[part : part + step, None] + row
+                j = i + np.arange(1, size - row)
+                small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+                fewer = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)
+                ok = (root[i] != root[j]) & (100 * small >= PER_CENT * large) & ((100 + PER_CENT) * fewer >= PER_CENT * (small + large)) & (doc[i] != doc[j]) & ((lo[i] == hi[i]) | (k[i] != k[j]))
+                if ok.any():
+                    a, b = np.broadcast_to(doc[i], j.shape)[ok], doc[j][ok]
+                    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +296,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stored(same.union(_verified(docs, led)))
     roots = stored(components(links))
     # documents of a shingle, its leader apart, that are not in one component yet
-    rooted = members.select("key", "doc", "n", "at").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted = members.filter("more").select("key", "doc", "n", "at").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     more = stored(_blocks(rooted).join(led, ["a", "b"], "left_anti"))
     found = stored(_verified(docs, more))
     if not found.isEmpty():

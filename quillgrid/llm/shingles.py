@@ -34,16 +34,31 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+#: Bytes whose words are hashed together.
+CHUNK = 1 << 19
+
+
+def _words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word of a buffer that ends with a blank; in chunks that end with one."""
+    blank = _BLANK[at]
+    begins, hashes, low = [], [], 0
+    while low < len(at):
+        high = len(at) if low + CHUNK >= len(at) else low + CHUNK + int(np.argmax(blank[low + CHUNK :])) + 1
+        powers, inverses = _power(high - low + 1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank[low:high]]).astype(np.int8)))
+        begin, end = edge[0::2], edge[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[at[low:high]] * powers[: high - low], dtype=np.uint64)])
+        begins.append(begin + low)
+        hashes.append(mixed((sums[end] - sums[begin]) * inverses[begin]))
+        low = high
+    return np.concatenate(begins), np.concatenate(hashes)
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Each text's set, sorted."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     at = np.frombuffer((b" ".join(raw) + b" ").lower(), np.uint8)
-    powers, inverses = _power(len(at) + 1)
-    blank = _BLANK[at]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
-    begin, end = edge[0::2], edge[1::2]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[at] * powers[: len(at)], dtype=np.uint64)])
-    word = mixed((sums[end] - sums[begin]) * inverses[begin])
+    begin, word = _words(at)
     stops = np.cumsum([len(r) + 1 for r in raw])
     last = np.searchsorted(begin, stops)  # words up to each text's end
     first = np.concatenate([[0], last[:-1]])
