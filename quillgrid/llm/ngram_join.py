@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, two_columns
+from .common import slices, stored, table, two_columns
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -46,8 +46,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            part = batch.slice(at, TEXTS)
+        for part in slices(batch, 1, TEXTS):
             yield from zip(part.column(0).to_pylist(), shingle_sets([t or "" for t in part.column(1).to_pylist()]), strict=True)
 
 
@@ -201,8 +200,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             k, p = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = np.flatnonzero((flag[k * size + p // 8] >> (p % 8).astype(np.uint8)) & 1)
-            for at in range(0, len(keep), TEXTS):
-                part = batch.take(pa.array(keep[at : at + TEXTS]))
+            for part in slices(batch.take(pa.array(keep)), 1, TEXTS):
                 found = [s.tobytes() for s in shingle_sets([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "s"])
 

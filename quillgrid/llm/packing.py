@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, table, tokenizer_path, two_columns
+from .common import byte_letters, slices, table, tokenizer_path, two_columns
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LIMIT = 2048
@@ -218,8 +218,7 @@ def pack(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     stream.add(doc_id, np.frombuffer(ids + end, np.uint32))

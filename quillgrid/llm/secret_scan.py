@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, two_columns
+from .common import slices, table, two_columns
 
 
 class Rule(NamedTuple):
@@ -234,8 +234,7 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(rules)
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for part in slices(batch, 1, BLOCK):
                 found = scanner.spans([t or "" for t in part.column(1).to_pylist()])
                 spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in own] for own in found]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -257,8 +256,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(rules)
         for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
+            for part in slices(batch, at, BLOCK):
                 texts = part.column(at).to_pylist()
                 found = scanner.spans([t or "" for t in texts])
                 out = [_masked(t, own) if own else t for t, own in zip(texts, found, strict=True)]

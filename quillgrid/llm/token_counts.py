@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, table, tokenizer_path, two_columns
+from .common import byte_letters, slices, table, tokenizer_path, two_columns
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Pieces that a worker remembers; beyond, its memory starts anew.
@@ -99,8 +99,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 tokens = counter.count(texts)
                 yield pa.RecordBatch.from_arrays(

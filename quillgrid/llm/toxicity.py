@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, two_columns
+from .common import slices, table, two_columns
 
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 SAMPLE, LANDMARKS, ROUNDS, COST = 1500, 320, 6, 20.0
@@ -288,8 +288,7 @@ def score(df: DataFrame, model: bytes | None, text_col: str = "text", name: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, at, 256):
                 found = own.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, name])
 
