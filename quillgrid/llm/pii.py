@@ -28,29 +28,31 @@ from .common import stored, table, two_columns
 
 
 class Kind(NamedTuple):
-    """A kind of candidate: its expression, the words that announce it, the expression of what its gazetteer knows."""
+    """A kind of candidate: its expression, the words that announce it, the expression of what its gazetteer knows, and
+    what every text with a match holds (cheaper to look for)."""
 
     name: str
     pattern: str
     context: str
     known: str
+    holds: str
 
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Lists of labelers (fixed values): top-level domains, card prefixes, calling codes, country codes, titles and announcing words.
 BASE = (
     # a run of the local part is entered at its start, or where the last match ended
-    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", r"e-?mail|contact|write to|courriel|correo", r"\.(com|org|net|edu|gov|io|de|fr|es|uk)$"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"\bip\b|host|server|address|adresse", r"^(?!0|127|22[4-9]|2[3-9])"),
+    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", r"e-?mail|contact|write to|courriel|correo", r"\.(com|org|net|edu|gov|io|de|fr|es|uk)$", "@"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"\bip\b|host|server|address|adresse", r"^(?!0|127|22[4-9]|2[3-9])", r"[0-9]\.[0-9]+\."),
     # shorter runs would be dropped; from a run's start all of it is taken
-    Kind("card", r"[0-9](?:[ -]?[0-9]){13,}+", r"card|visa|carte|karte|tarjeta|credit", r"^(4|5[1-5]|3[47]|6011|65)"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"phone|call|tel|mobile|fax", r"^\+(1|33|34|44|49|39|7|81|86|91)"),
+    Kind("card", r"[0-9](?:[ -]?[0-9]){13,}+", r"card|visa|carte|karte|tarjeta|credit", r"^(4|5[1-5]|3[47]|6011|65)", r"[0-9](?:[ -]?[0-9]){13}"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"phone|call|tel|mobile|fax", r"^\+(1|33|34|44|49|39|7|81|86|91)", r"\+[0-9]"),
 )
 MORE = (
-    Kind("local", r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"phone|call|tel|mobile|fax", r"^\(?[2-9]"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"ssn|social|insurance", r"^(?!000|666|9)"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", r"iban|account|konto|compte|cuenta", r"^(DE|FR|ES|GB|IT|NL|BE|AT|CH|PT)"),
-    Kind("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+", r"dear|name|contact|signed", r"^(Mr|Mrs|Ms|Dr|Prof)"),
+    Kind("local", r"(?<![0-9+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"phone|call|tel|mobile|fax", r"^\(?[2-9]", r"[0-9]{3}[ .-][0-9]{4}"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"ssn|social|insurance", r"^(?!000|666|9)", r"[0-9]-[0-9]{2}-[0-9]"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", r"iban|account|konto|compte|cuenta", r"^(DE|FR|ES|GB|IT|NL|BE|AT|CH|PT)", r"[A-Z]{2}[0-9]{2}"),
+    Kind("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+", r"dear|name|contact|signed", r"^(Mr|Mrs|Ms|Dr|Prof)", r"(?:Mr|Mrs|Ms|Dr|Prof)\. "),
 )
 KINDS = BASE + MORE
 LABELERS = ("rule", "gazetteer", "context", "boundary")
@@ -128,8 +130,17 @@ def _judge(text: Column, k: int) -> Callable[[Column], Column]:
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<start, kind, end, base, code>>; code: the votes and the length's class as one number."""
-    return F.array_sort(F.concat(*(F.transform(_matches(text, kind.pattern), _judge(text, k)) for k, kind in enumerate(KINDS))))
+    """array<struct<start, kind, end, base, code>>; code: the votes and the length's class as one number.
+
+    A kind is looked for in texts that hold what its matches hold; those with digits, in texts with digits."""
+
+    def found(k: int) -> Column:
+        return F.when(text.rlike(KINDS[k].holds), F.transform(_matches(text, KINDS[k].pattern), _judge(text, k))).otherwise(none)
+
+    none = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint, base: boolean, code: int>>)")
+    plain = [k for k, kind in enumerate(KINDS) if kind.name in ("email", "name")]
+    digits = [k for k in range(len(KINDS)) if k not in plain]
+    return F.array_sort(F.concat(*map(found, plain), F.when(text.rlike("[0-9]"), F.concat(*map(found, digits))).otherwise(none)))
 
 
 def _decode(code: int) -> tuple[int, tuple[int, ...], int]:
