@@ -31,7 +31,7 @@ def parse_lines(lines: DataFrame, base: int = 1, double: bool = False) -> DataFr
     return fields.select("i", "j", "v", ok.alias("ok"))
 
 
-def read_coo(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, base: int = 1, double: bool = False, header: bool = False) -> SparseMatrix:
+def read_coo(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, base: int = 1, double: bool = False) -> SparseMatrix:
     """A matrix from lines `row,col,value`; others are left out (rejected_lines counts them). A header is one of those."""
     parsed = parse_lines(read_lines(spark, path), base, double)
     return SparseMatrix(parsed.filter("ok").select("i", "j", "v"), shape)
