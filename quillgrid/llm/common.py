@@ -29,12 +29,13 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
+#: Where spark.checkpoint.dir is unset, as in tests on one machine.
+LOCAL_DIR = "file:///tmp/checkpoints/quillgrid"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset (tests), one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints/quillgrid"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
