@@ -102,10 +102,10 @@ def load_matrix(spark: SparkSession, path: str, shape: tuple[int, int] | None =
     return SparseMatrix(spark.read.parquet(path), shape, canonical)
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame | None:
-    """Records of a JSON report, None if there is none."""
+def read_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame | None:
+    """Records of a JSON report, an array or (lines) a record a line, as write_report makes them; None if there is none."""
     try:
-        return spark.read.option("multiLine", True).json(path)
+        return spark.read.option("multiLine", not lines).json(path)
     except AnalysisException:
         return None
 

@@ -27,7 +27,7 @@ def test_commands(spark, tmp_path):
     assert run(spark, "verify", f"{tmp_path}/a", f"{tmp_path}/b") == 1
     for kind in ("uniform", "banded", "block", "power-law"):
         assert run(spark, "generate", f"{tmp_path}/g", "--kind", kind, "--rows", 60, "--cols", 60, "--nnz", 100) == 0
-        assert coo.read_coo(spark, f"{tmp_path}/g", double=True).stored_entries() > 50
+        assert coo.read_coo(spark, f"{tmp_path}/g", double=True).stored_entries() >= 30
 
 
 def test_reports(spark, tmp_path):
@@ -42,7 +42,9 @@ def test_reports(spark, tmp_path):
     phases = spark.createDataFrame([("load", 1.0), ("join", 3.0)], "phase string, seconds double")
     assert {r.phase: r.pct for r in reports.phase_shares(phases).collect()} == {"load": 25.0, "join": 75.0}
     coo.write_report(both, f"{tmp_path}/r")
-    assert coo.read_report(spark, f"{tmp_path}/r").count() == 2
+    assert coo.read_report(spark, f"{tmp_path}/r", lines=True).count() == 2
+    (tmp_path / "array.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert coo.read_report(spark, f"{tmp_path}/array.json").count() == 2
     assert "speedup" in reports.as_text(both, "times")
 
 
