@@ -63,13 +63,14 @@ def layer(spark: SparkSession, dims: int = 64, out: int = 8) -> DataFrame:
 A = "a AS (SELECT l_partkey AS i, l_suppkey AS j, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT) - 25) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"
 B = "b AS (SELECT l_partkey AS i, l_suppkey AS j, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT) - 25) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)"
 M = "m AS (SELECT l_orderkey AS i, l_partkey AS j, CAST(SUM(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)"
-G = "g AS (SELECT event_id, ts, user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events)"
+G = "g AS (SELECT event_id, event_type, ts, user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst FROM events)"
 X = "x AS (SELECT vec_id AS node, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS d, CAST(trunc(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS x FROM embeddings)"
 W = "w AS (SELECT r // 8 AS d, r % 8 AS e, CAST((r * 7 + (r // 8) * 3) % 11 - 5 AS BIGINT) AS w FROM range(512) t(r))"
 P = "p AS (SELECT m.i, a.j, CAST(SUM(m.v * a.v) AS BIGINT) AS v FROM m JOIN a ON m.j = a.i GROUP BY 1, 2)"
 H = "h AS (SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM g JOIN x ON g.dst = x.node GROUP BY 1, 2)"
 E = "e AS (SELECT src AS i, dst AS j, count(*) AS v FROM g GROUP BY 1, 2)"
 SUM = "s AS (SELECT i, j, CAST(SUM(v) AS BIGINT) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)"
+N = "n AS (SELECT p.range AS i, s.range AS j, coalesce(CAST(trunc(s_acctbal) AS BIGINT), 0) AS v FROM range(0, (SELECT count(*) FROM nation)) p CROSS JOIN range(0, (SELECT count(*) FROM supplier)) s LEFT JOIN supplier t ON t.s_nationkey = p.range AND t.s_suppkey = s.range)"
 PARTS, SUPPLIERS = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM supplier)"
 
 
@@ -270,9 +271,10 @@ def gcn_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.aggregate(g_edges(spark, sf_dir), x_feat(spark, sf_dir))
 
 
-@query("gcn_aggregate_all_nodes", _with(G, X, H, "n AS (SELECT s.range AS src, d.range AS d FROM range(0, 200) s, range(0, 64) d) SELECT n.src, n.d, coalesce(h, 0) AS h FROM n LEFT JOIN h ON n.src = h.src AND n.d = h.d"))
+@query("gcn_aggregate_all_nodes", _with(G, X, H, "n AS (SELECT s.range AS src, d.range AS d FROM range(0, (SELECT max(greatest(src, dst)) + 1 FROM g)) s, range(0, 64) d) SELECT n.src, n.d, coalesce(h, 0) AS h FROM n LEFT JOIN h ON n.src = h.src AND n.d = h.d"))
 def gcn_aggregate_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate_all(g_edges(spark, sf_dir), x_feat(spark, sf_dir), 200, 64)
+    edges = g_edges(spark, sf_dir)
+    return graph.aggregate_all(edges, x_feat(spark, sf_dir), graph.node_count(edges), 64)
 
 
 @query("gcn_forward", _with(G, X, H, W, "SELECT src, e, CAST(SUM(h * w) AS BIGINT) AS y FROM h JOIN w ON h.d = w.d GROUP BY 1, 2"))
@@ -281,8 +283,9 @@ def gcn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = g_edges(spark, sf_dir)
-    return edges.filter("event_id % 10 <> 0"), edges.filter("event_id % 10 = 0")
+    """Edges that are there, and those that an update brings: purchases come later."""
+    edges = _read(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"))
+    return edges.filter("event_type <> 'purchase'"), edges.filter("event_type = 'purchase'")
 
 
 @query("gcn_update_full", _with(G, X, H, "SELECT src, d, h FROM h"))
@@ -298,19 +301,19 @@ def gcn_update_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.update_incremental(graph.aggregate(old, features), graph.update_delta(new, features))
 
 
-@query("gcn_update_delta", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM g JOIN x ON g.dst = x.node WHERE event_id % 10 = 0 GROUP BY 1, 2"))
+@query("gcn_update_delta", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM g JOIN x ON g.dst = x.node WHERE event_type = 'purchase' GROUP BY 1, 2"))
 def gcn_update_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.update_delta(_split(spark, sf_dir)[1], x_feat(spark, sf_dir))
 
 
-@query("gcn_update_removal", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM (SELECT src, d, x FROM g JOIN x ON g.dst = x.node UNION ALL SELECT src, d, -x FROM g JOIN x ON g.dst = x.node WHERE event_id % 10 = 0) GROUP BY 1, 2"))
+@query("gcn_update_removal", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM (SELECT src, d, x FROM g JOIN x ON g.dst = x.node UNION ALL SELECT src, d, -x FROM g JOIN x ON g.dst = x.node WHERE event_type = 'purchase') GROUP BY 1, 2"))
 def gcn_update_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = x_feat(spark, sf_dir)
     gone = _split(spark, sf_dir)[1].groupBy("src", "dst").agg((-F.count("*")).alias("w"))
     return graph.update_incremental(graph.aggregate(g_edges(spark, sf_dir), features), graph.weighted_aggregate(gone, features))
 
 
-@query("new_edges_antijoin", _with(G, "SELECT DISTINCT src, dst FROM g n WHERE event_id % 10 = 0 AND src <> dst AND NOT EXISTS (SELECT 1 FROM g o WHERE o.event_id % 10 <> 0 AND o.src = n.src AND o.dst = n.dst)"))
+@query("new_edges_antijoin", _with(G, "SELECT DISTINCT src, dst FROM g n WHERE event_type = 'purchase' AND src <> dst AND NOT EXISTS (SELECT 1 FROM g o WHERE o.event_type <> 'purchase' AND o.src = n.src AND o.dst = n.dst)"))
 def new_edges_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _split(spark, sf_dir)
     return graph.new_edges(new, old)
@@ -330,22 +333,17 @@ def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algebra.spmv(a_ps(spark, sf_dir), spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 5 + 1).alias("x")))
 
 
-def _corner(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    return SparseMatrix(a_ps(spark, sf_dir).df.filter("i < 50 AND j < 8"), (50, 8))
-
-
-CORNER = "c AS (SELECT p.range AS i, s.range AS j, coalesce(v, 0) AS v FROM range(0, 50) p CROSS JOIN range(0, 8) s LEFT JOIN a ON a.i = p.range AND a.j = s.range)"
-
-
-@query("densify_small", _with(A, CORNER, "SELECT i, j, v FROM c"))
-def densify_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return algebra.densify(_corner(spark, sf_dir))
+@query("densify", _with(A, f"SELECT p.range AS i, s.range AS j, coalesce(v, 0) AS v FROM range(0, {PARTS}) p CROSS JOIN range(0, {SUPPLIERS}) s LEFT JOIN a ON a.i = p.range AND a.j = s.range"))
+def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return algebra.densify(a_ps(spark, sf_dir, shaped=True))
 
 
-@query("dense_mul_small", _with(A, CORNER, "SELECT x.i, y.i AS j, CAST(SUM(x.v * y.v) AS BIGINT) AS v FROM c x JOIN c y ON x.j = y.j GROUP BY 1, 2"))
-def dense_mul_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corner = _corner(spark, sf_dir)
-    return algebra.dense_multiply(corner, algebra.transpose(corner))
+@query("dense_mul", _with(N, "SELECT x.i, y.i AS j, CAST(SUM(x.v * y.v) AS BIGINT) AS v FROM n x JOIN n y ON x.j = y.j GROUP BY 1, 2"))
+def dense_mul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by suppliers with whole balances, times its transpose."""
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("i"), F.col("s_suppkey").alias("j"), F.col("s_acctbal").cast("long").alias("v"))
+    balances = SparseMatrix(rows, _shape(spark, sf_dir, "nation", "supplier"))
+    return algebra.dense_multiply(balances, algebra.transpose(balances))
 
 
 @query("memory_footprint", _with(A, B, f"n AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS n, 2.0::DOUBLE * {PARTS} * {SUPPLIERS} AS c) SELECT n * 16 / 1048576::DOUBLE AS sparse_mb, c * 8 / 1048576 AS dense_mb, (c * 8 / 1048576) / (n * 16 / 1048576::DOUBLE) AS ratio FROM n"))
