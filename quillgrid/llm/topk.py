@@ -30,7 +30,9 @@ from .common import stored, table
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 8192, 512
 #: Terms that are probed between two looks at who still competes.
-PROBE = 4
+PROBE = 8
+#: Vectors that drop out are set aside once only this share is left.
+FEW = 0.5
 PACKED = "width int, part int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -80,28 +82,28 @@ def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.n
         # the k-th best of a few vectors that are good in the largest terms: a score that k vectors reach
         head = np.zeros(x.shape[1], kind)
         at = 0
-        while at < min(8, len(order)):
-            head += qs[at] * wide[order[at]]
-            at += 1
+        if at < (to := min(8, len(order))):
+            head = qs[at:to] @ wide[order[at:to]]
+            at = to
         seed = np.argpartition(-head, min(len(head) - 1, 4 * k))[: 4 * k + 1]
         seed = seed[ids[seed] != query_id]
-        full = np.sort(qs @ wide[order][:, seed])[::-1]
+        full = np.sort(qs @ wide[np.ix_(order, seed)])[::-1]
         least = full[k - 1] if len(full) >= k else -np.inf
         # essential terms: all but those of least bounds that can't reach it together
         essential = int(np.searchsorted(-rest, -least, "right")) if least > -np.inf else len(order)
-        while at < min(essential, len(order)):
-            head += qs[at] * wide[order[at]]
-            at += 1
-        done = int(worst[:at].sum())
-        alive = np.flatnonzero(head + float(rest[at] - done if at < len(order) else 0) >= least) if least > -np.inf else np.arange(len(ids))
-        score = head[alive]
+        if at < (to := min(essential, len(order))):
+            head = head + qs[at:to] @ wide[order[at:to]]
+            at = to
+        alive, score = np.arange(len(ids)), head
         while at < len(order):
+            if least > -np.inf:  # who can still reach the score
+                competes = np.flatnonzero(score + float(rest[at] - int(worst[:at].sum())) >= least)
+                if len(competes) < FEW * len(alive):
+                    alive, score = alive[competes], score[competes]
             to = min(at + PROBE, len(order))
-            score = score + qs[at:to] @ wide[order[at:to]][:, alive]
+            some = wide[order[at:to]] if len(alive) == len(ids) else wide[np.ix_(order[at:to], alive)]
+            score = score + qs[at:to] @ some
             at = to
-            if least > -np.inf and at < len(order):
-                competes = score + float(rest[at] - int(worst[:at].sum())) >= least
-                alive, score = alive[competes], score[competes]
         keep = ids[alive] != query_id
         alive, score = alive[keep], score[keep].astype(np.int64)
         best = np.lexsort((ids[alive], -score))[:k]
