@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,17 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 21) -
         at = to
 
 
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one operator's state at a time, so that those of several never pile up."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def size_in_words(text):
     r"""Native count of ``[^\x20\x09-\x0D]+`` in a text column; null counts 0.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, two_columns
+from .common import slices, stored, table, two_columns, worker_state
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -54,6 +54,7 @@ def _summary(docs: DataFrame) -> DataFrame:
     """One scan: a row per document with its set's size and signature, and a task's counts of shingles, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("near duplicates",), dict)  # other operators' state goes
         counts, held, size = np.zeros(SKETCH, np.int64), [], 0
         few = SKETCH // 4
         rows: list[tuple] = []

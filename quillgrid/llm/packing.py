@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, slices, table, tokenizer_path, two_columns
+from .common import byte_letters, slices, table, tokenizer_path, two_columns, worker_state
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LIMIT = 2048
@@ -37,7 +37,7 @@ AFTER_SENTENCE, ELSEWHERE, WINDOW = 2.0, 48.0, 1.0
 #: Ids of a stretch that is solved at once; ids between cuts where no sentence ends.
 STRETCH, STEP = 1 << 20, 128
 #: Pieces that a worker remembers.
-MEMORY = 1_500_000
+MEMORY = 1_000_000
 
 
 class Encoder:
@@ -196,13 +196,8 @@ def best_windows(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, limit:
     return at[found[::-1]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_state(("packing", path), lambda: Encoder(path))
 
 
 def pack(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

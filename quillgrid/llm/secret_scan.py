@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, two_columns
+from .common import slices, table, two_columns, worker_state
 
 
 class Rule(NamedTuple):
@@ -215,13 +215,8 @@ class Scanner:
         return found
 
 
-_SCANNERS: dict[tuple[Rule, ...], Scanner] = {}
-
-
 def _scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+    return worker_state(("secrets", rules), lambda: Scanner(rules))
 
 
 #: Texts that are indexed together.

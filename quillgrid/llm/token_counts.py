@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, slices, table, tokenizer_path, two_columns
+from .common import byte_letters, slices, table, tokenizer_path, two_columns, worker_state
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Pieces that a worker remembers; beyond, its memory starts anew.
@@ -84,13 +84,8 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, found, strict=True) if len(e) == 1)
 
 
-_WORKERS: dict[str, Counter] = {}
-
-
 def _counter(path: str) -> Counter:
-    if path not in _WORKERS:
-        _WORKERS[path] = Counter(path)
-    return _WORKERS[path]
+    return worker_state(("token counts", path), lambda: Counter(path))
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

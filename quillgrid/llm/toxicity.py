@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices, table, two_columns
+from .common import slices, table, two_columns, worker_state
 
 LENGTH, SPAN, DECAY = 4, 6, 0.6
 SAMPLE, LANDMARKS, ROUNDS, COST = 1500, 320, 6, 20.0
 #: Words that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 300_000
 _BASE = 32
 _PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
@@ -268,15 +268,8 @@ def load(raw: bytes) -> Model:
     return Model(np.frombuffer(raw[12:], np.float32), *map(float, head))
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(raw: bytes) -> Model:
-    key = crc32(raw)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = load(raw)
-    return _MODELS[key]
+    return worker_state(("toxicity", crc32(raw)), lambda: load(raw))
 
 
 def score(df: DataFrame, model: bytes | None, text_col: str = "text", name: str = "score") -> DataFrame:
