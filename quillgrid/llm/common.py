@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,14 +31,24 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
-#: Where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Where spark.checkpoint.dir is unset and all executors are on this machine, as in tests.
 LOCAL_DIR = "file:///tmp/checkpoints/quillgrid"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir; an error where it is unset and the master isn't local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or LOCAL_DIR).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column's name that a table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,16 +71,48 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 21) -
 
 
 _STATE: dict[tuple, object] = {}
+#: Bytes of an entry of a dictionary of strings besides its characters, about.
+ENTRY = 160
 
 
 def worker_state(key: tuple, make: Callable[[], object]):
-    """What a Python worker keeps between tasks: one operator's state at a time, so that those of several never pile up."""
+    """What a Python worker keeps between tasks: one operator's state at a time, so that those of several never pile up. key begins with the operator's name."""
     if key not in _STATE:
-        _STATE.clear()
+        _evict(None)
         _STATE[key] = make()
     return _STATE[key]
 
 
+def _evict(owner: str | None) -> None:
+    """State of other operators goes, and its memory back to the system."""
+    if any(key[0] != owner for key in _STATE):
+        _STATE.clear()
+        release()
+
+
+def release() -> None:
+    """Returns freed memory to the system, as far as the system's library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def in_workers(df: DataFrame, owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow for all operators: what another operator left in a worker goes first, and what a task alone held goes when it ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _evict(owner)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def size_in_words(text):
     r"""Native count of ``[^\x20\x09-\x0D]+`` in a text column; null counts 0.
 

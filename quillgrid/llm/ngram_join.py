@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, two_columns, worker_state
+from .common import in_workers, slices, stored, table, two_columns, worker_state
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -84,7 +84,7 @@ def _summary(docs: DataFrame) -> DataFrame:
             empty = [pa.nulls(n, _LONG)] * 4
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(n), pa.int32()), pa.array(pieces, pa.binary())], names=["doc_id", "n", "s1", "s2", "piece", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, piece int, counts binary")
+    return in_workers(docs, "near duplicates", run, "doc_id long, n long, s1 long, s2 long, piece int, counts binary")
 
 
 def _ranks(summary: DataFrame) -> bytes:
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, ranks: bytes) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "key long, doc long, n int, at int")
+    return in_workers(docs, "near duplicates", run, "key long, doc long, n int, at int")
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _members(prefixes: DataFrame) -> DataFrame:
                 columns = [x[rest][keep] for x in (key, doc, n, at)] + [x[keep] for x in found] + [more[keep]]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "doc", "n", "at", "lead", "lead_n", "lead_at", "more"])
 
-    return dealt.mapInArrow(run, "key long, doc long, n int, at int, lead long, lead_n int, lead_at int, more boolean")
+    return in_workers(dealt, "near duplicates", run, "key long, doc long, n int, at int, lead long, lead_n int, lead_at int, more boolean")
 
 
 def _can_link(n, at, m, to):
@@ -205,7 +205,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 found = [s.tobytes() for s in shingle_sets([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "s"])
 
-    known = marked.mapInArrow(sets, "doc long, s binary")
+    known = in_workers(marked, "near duplicates", sets, "doc long, s binary")
     first, second = (known.select(F.col("doc").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
 
@@ -215,7 +215,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = [_linked(np.frombuffer(sa[k].as_buffer(), np.uint64), np.frombuffer(sb[k].as_buffer(), np.uint64)) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok, pa.bool_())), b.filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    return joined.mapInArrow(verify, "a long, b long")
+    return in_workers(joined, "near duplicates", verify, "a long, b long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -256,7 +256,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield from _met(held, np.array([0, len(held[0])]))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_workers(dealt, "near duplicates", run, "a long, b long").distinct()
 
 
 #: Pairs that are looked at together.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, slices, table, tokenizer_path, two_columns, worker_state
+from .common import ENTRY, byte_letters, in_workers, slices, table, tokenizer_path, two_columns, worker_state
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LIMIT = 2048
@@ -36,8 +36,10 @@ END = 1
 AFTER_SENTENCE, ELSEWHERE, WINDOW = 2.0, 48.0, 1.0
 #: Ids of a stretch that is solved at once; ids between cuts where no sentence ends.
 STRETCH, STEP = 1 << 20, 128
-#: Pieces that a worker remembers.
-MEMORY = 1_000_000
+#: Characters of a piece that is remembered.
+LONGEST = 256
+#: Bytes of pieces that a worker remembers, about.
+MEMORY = 96 << 20
 
 
 class Encoder:
@@ -58,7 +60,8 @@ class Encoder:
         strings = {bytes(letters[c] for c in k): v for k, v in self.tokenizer.get_vocab().items() if k not in special}
         self.merge = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=strings, special_tokens={}).encode_ordinary
         self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.rest: dict[str, bytes] = {}
+        self.held = 0
         self.sentence = np.zeros(max(self.tokenizer.get_vocab_size(), END + 1), bool)
         self.sentence[[v for k, v in strings.items() if re.search(rb"[.!?\n]$", k)]] = True
 
@@ -80,35 +83,33 @@ class Encoder:
             found = self._piece(blank, w[:-1]) + self._ids(w[-1])
         else:
             found = self._ids(blank + w)
-        known[w] = found
+        if len(w) <= LONGEST:
+            if self.held > MEMORY:
+                self.first.clear()
+                self.rest.clear()
+                self.held = 0
+            known[w] = found
+            self.held += ENTRY + len(w) + len(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         first, rest, out = self.first, self.rest, []
-        if len(rest) + len(first) > MEMORY:
-            rest.clear()
-            first.clear()
         for text in texts:
             head, *tail = text.split(" ")
-            if head not in first:
-                self._piece("", head)
             try:
-                parts = [rest[w] for w in tail]
+                out.append(first[head] + b"".join([rest[w] for w in tail]))
             except KeyError:
-                for w in tail:
-                    if w not in rest:
-                        if not w or w[0].isspace():
-                            rest[w] = None
-                        else:
-                            self._piece(" ", w)
-                parts = [rest[w] for w in tail]
-            try:
-                out.append(first[head] + b"".join(parts))
-            except TypeError:  # a piece that can't stand alone
-                out.append(self._library(text))
+                out.append(self._new(text, head, tail))
         return out
 
+    def _new(self, text: str, head: str, tail: list[str]) -> bytes:
+        """The ids of a text with pieces that aren't remembered, or that can't stand alone."""
+        if any(not w or w[0].isspace() for w in tail):
+            return self._library(text)
+        known = self.rest.get
+        return self._piece("", head) + b"".join([known(w) or self._piece(" ", w) for w in tail])
+
 
 class Stream:
     """The ids of a partition's documents, cut into windows a stretch at a time."""
@@ -155,9 +156,9 @@ def best_windows(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, limit:
     n = len(ids)
     after = np.flatnonzero(sentence[ids]) + 1
     cuts = np.union1d(np.union1d(after, ends), [0])
-    gaps = np.diff(cuts)
-    wide = np.flatnonzero(gaps > 2 * STEP)
-    more = [np.arange(cuts[k] + STEP, cuts[k + 1], STEP) for k in wide]
+    step = min(STEP, limit)
+    wide = np.flatnonzero(np.diff(cuts) > min(2 * STEP, limit))
+    more = [np.arange(cuts[k] + step, cuts[k + 1], step) for k in wide]
     powers = limit >> np.arange(limit.bit_length())
     tail = n - np.unique(np.concatenate([powers, (powers[:, None] + powers).ravel()])) if last else []
     at = np.unique(np.concatenate([cuts, *more, tail]).astype(np.int64))
@@ -202,6 +203,8 @@ def _encoder(path: str) -> Encoder:
 
 def pack(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence."""
+    if limit < 1:
+        raise ValueError("a sequence holds one id at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -221,7 +224,7 @@ def pack(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", t
                     yield rows(False)
         yield rows(True)
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return in_workers(two_columns(df, id_col, text_col), "packing", run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, two_columns, worker_state
+from .common import in_workers, slices, table, two_columns, worker_state
 
 
 class Rule(NamedTuple):
@@ -235,7 +235,7 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return in_workers(two_columns(df, id_col, text_col), "secrets", run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 MASK = "[SECRET]"
@@ -262,7 +262,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
                     columns[count] = pa.array([len(t) if own else n for t, own, n in zip(out, found, kept, strict=True)], columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return in_workers(df, "secrets", run, df.schema)
 
 
 def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:

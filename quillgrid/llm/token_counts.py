@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_letters, slices, table, tokenizer_path, two_columns, worker_state
+from .common import ENTRY, byte_letters, in_workers, slices, table, tokenizer_path, two_columns, worker_state
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Pieces that a worker remembers; beyond, its memory starts anew.
-MEMORY = 1_500_000
+#: Bytes of pieces that a worker remembers, about; beyond, its memory starts anew.
+MEMORY = 128 << 20
 
 
 #: The vocabulary's own splitting rule for lower-cased Latin-1 text (fixed values: its letters, its numerals, white space).
@@ -41,6 +41,7 @@ class Counter:
         self.odd = re.compile(r"[^\x00-\xff]|<\|").search  # beyond Latin-1, or perhaps a special token: left to the library
         self.seen: dict[str, int] = {}
         self.merged: dict[str, int] = {}
+        self.held = 0
 
     def _library(self, strings: list[str]) -> list[int]:
         return [len(e) for k in range(0, len(strings), 4096) for e in self.tokenizer.encode_batch_fast(strings[k : k + 4096], add_special_tokens=False)]
@@ -58,12 +59,14 @@ class Counter:
         for w, own in parts.items():
             self.seen[w] = sum(1 if p in whole else merged[p] for p in own)
         self.seen.update(zip(odd, self._library(odd), strict=True))
+        self.held += sum(map(len, pieces)) + sum(map(len, rest)) + ENTRY * (len(pieces) + len(rest))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        if len(self.seen) > MEMORY:
+        if self.held > MEMORY:
             self.seen.clear()
             self.merged.clear()
+            self.held = 0
         seen = self.seen
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn({w for words in split for w in words if w not in seen})
@@ -102,7 +105,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return in_workers(two_columns(df, id_col, text_col), "token counts", run, SCHEMA)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

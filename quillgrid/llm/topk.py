@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import in_workers, stored, table
 
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 8192, 512
@@ -134,7 +134,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     pairs = shards.join(dealt, ["width", "part"]).select("width", "ids", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(search, FOUND)
+    found = in_workers(pairs, "top k", search, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

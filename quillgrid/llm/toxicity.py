@@ -1,28 +1,34 @@
 """Operator 8: toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-Strings are a text's words, in folded letters between marks for start and end; characters set
-between letters are dropped, letters set apart by blanks are joined. Two strings are as alike as the
-subsequences of LENGTH letters they share, each weighted by DECAY to the power of what it spans,
-up to SPAN letters: an insult with letters put in or left out still shares most of them.
-
-The kernel is evaluated against landmark words, a linear machine with squared hinge loss is
-trained in the Nystroem space, and its weights are carried back to the subsequences: a word's margin is
-one table look-up for each subsequence. A labelled text is a bag of strings: a toxic one is held to its
-worst word, a clean one to all its words. A text's score is the logistic of its worst margin.
+A text is folded to the letters a to z with one blank between words, cut at the ends of sentences. What
+stands between letters of a word is dropped, letters set apart by blanks are joined, digits that
+stand for letters become them. The kernel compares windows of a sentence, WINDOW places long, across
+blanks: a feature is a subsequence of LENGTH characters, weighted by DECAY to the power of the span it has,
+up to SPAN, and summed over all its occurrences that begin in the window. So an insult with letters put in
+or left out still shares most of its subsequences.
+
+The machine learns from labelled sentences. A sentence of a clean text has no toxic window; of a toxic
+text's sentences at least one has one, which one isn't known (multiple instances). Landmarks are windows of the
+sentences: those whose subsequences' shares of toxic and of clean texts differ most, over their deviation, and windows of
+clean sentences by hash. In the space that they span by Nystroem's method a machine of squared hinge loss
+is fitted by Newton steps to the toxic windows found so far and to clean ones, of which those that come too near join. The
+machine of one half of the toxic texts then says which sentences of the other half are toxic: those
+beyond what nearly all clean texts reach. A text without one counts as mislabelled. The last machine's
+weights are carried back to the subsequences, so that a text is scored by look-ups alone, whatever the landmarks.
+A text's score is the logistic of its worst window's margin.
 
 It learns from a bounded sample of labelled rows (SAMPLE toxic and twice as many clean ones at most, least
-hashes first), never from rows held out, and only from texts and the label `toxic`. All rows are scored.
+hashes first; SENTENCES of each at most, least hashes first), never from rows held out, and only from texts
+and the label `toxic`. All rows are scored, whole texts.
 
-Results: null and empty texts have no words and the least score a model gives; with no labelled row of either
+Results: null and empty texts have no windows and the least score a model gives; with no labelled row of either
 class, all scores are 0; repeated rows are scored each; null ids stay and are not held out; an empty table
-gives an empty table; other columns are ignored.
+gives an empty table; other columns are kept as they are; letters beyond a to z that don't fold to them are dropped.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from zlib import crc32
@@ -33,209 +39,354 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices, table, two_columns, worker_state
+from .common import fresh, in_workers, slices, table, two_columns, worker_state
 
-LENGTH, SPAN, DECAY = 4, 6, 0.6
-SAMPLE, LANDMARKS, ROUNDS, COST = 1500, 320, 6, 20.0
-#: Words that a worker remembers.
-MEMORY = 300_000
+LENGTH, SPAN, DECAY, WINDOW = 4, 6, 0.7, 8
+SAMPLE, SENTENCES, LANDMARKS, ROUNDS, COST = 1500, 200, 320, 2, 20.0
+#: Landmarks less alike than this are taken; share of clean texts that a toxic text's margin must exceed, or it counts as mislabelled;
+#: clean windows that join at a time; toxic windows among which landmarks are sought.
+ALIKE, RARE, HARD, SEEN = 0.4, 0.95, 640, 20_000
+#: Letters whose windows, and windows whose features, are looked at together.
+CHUNK, ROWS = 1 << 18, 2048
 _BASE = 32
+_BLANK = 27
 _PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
-_SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
+_GAP = WINDOW + SPAN
 #: Digits that stand for letters (fixed values).
-_DIGITS = str.maketrans("013457", "oieast")
-
-
-class Strings:
-    """Folded words and the codes and weights of their subsequences."""
-
-    def __init__(self, words: list[str]):
-        self.n = len(words)
-        joined = "".join(f"{{{w}}}" for w in map(folded, words))
-        raw = np.frombuffer(joined.encode("ascii"), np.uint8).astype(np.int32) - 96  # a is 1, { is 27, } is 29
-        ends = np.flatnonzero(raw == 29)
-        sizes = np.diff(np.concatenate([[-1], ends]))
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        codes, owners, weights = [], [], []
-        mass = np.zeros(self.n)
-        for p in _PATTERNS:
-            if len(raw) <= p[-1]:
-                continue
-            m = len(raw) - p[-1]
-            ok = np.flatnonzero(owner[:m] == owner[p[-1] :])
-            code = raw[ok]
-            for k in p[1:]:
-                code = code * _BASE + raw[ok + k]
-            weight = DECAY ** (p[-1] + 1)
-            codes.append(code)
-            owners.append(owner[ok])
-            weights.append(np.full(len(ok), weight, np.float32))
-            mass += np.bincount(owner[ok], minlength=self.n) * weight**2
-        self.codes = np.concatenate(codes) if codes else np.empty(0, np.int32)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, np.int32)
-        scale = 1 / np.sqrt(np.maximum(mass, 1e-12))
-        self.values = (np.concatenate(weights) * scale[self.owners]).astype(np.float32) if codes else np.empty(0, np.float32)
-
-    def dot(self, weights: np.ndarray) -> np.ndarray:
-        """Each string's sum over its subsequences of a table's entries."""
-        return np.bincount(self.owners, self.values * weights[self.codes], self.n)
-
-
-def folded(word: str) -> str:
-    """Letters a to z of a word in lower case: accents and characters between letters go, digits that stand for letters become them."""
-    if not word.isascii():
-        word = unicodedata.normalize("NFKD", word)
-    word = word.translate(_DIGITS)
-    return word if word.isascii() and word.isalpha() else "".join(c for c in word if "a" <= c <= "z")
-
-
-def words_of(text: str) -> list[str]:
-    """The strings of a text: its words, and runs of single letters as one word each."""
-    low = text.lower()
-    found = low.split()
-    if " " in low:
-        found += [m[0].replace(" ", "") for m in _SPACED.finditer(low)]
-    return found
-
-
-def kernel(rows: Strings, marks: list[Strings]) -> np.ndarray:
-    """The kernel between strings and single strings, a column each."""
-    out, weights = np.zeros((rows.n, len(marks))), np.zeros(_BASE**LENGTH, np.float32)
-    for k, mark in enumerate(marks):
-        np.add.at(weights, mark.codes, mark.values)
-        hits = np.flatnonzero(weights[rows.codes])
-        out[:, k] = np.bincount(rows.owners[hits], rows.values[hits] * weights[rows.codes[hits]], rows.n)
-        weights[mark.codes] = 0
+_DIGITS = bytes.maketrans(b"013457\t\v\f\r\x1c\x1d\x1e\x1f", b"oieast        ")
+_DROPPED = bytes(c for c in range(128) if not (97 <= c <= 122 or c in b"\n \t\v\f\r\x1c\x1d\x1e\x1f013457"))
+_CODES = np.zeros(256, np.uint8)
+_CODES[97:123] = np.arange(1, 27)
+_CODES[32] = _BLANK
+_LEAST, _MOST = -2.0, 6.0
+
+
+def _plain(text: str) -> bytes:
+    """Lower-case letters and blanks; a line feed between blanks where a sentence ends."""
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    raw = text.encode("ascii", "ignore")
+    for mark in (b". ", b"! ", b"? "):
+        raw = raw.replace(mark, b"\n")
+    return raw.replace(b"\n", b" \n ").translate(_DIGITS, _DROPPED)
+
+
+def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts): 1 to 26 for letters, 27 for one blank, 0 at ends of sentences; texts lie _GAP zeros apart, the last is followed by them."""
+    raw = [b" " + _plain(t) + b" " for t in texts]
+    at = np.frombuffer((b"\n" * _GAP).join([*raw, b""]), np.uint8)
+    starts = np.cumsum([0, *(len(r) + _GAP for r in raw)])
+    codes = _CODES[at]
+    if not len(codes):
+        return codes, starts
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != _BLANK) | (codes[:-1] != _BLANK)
+    places = np.concatenate([[0], np.cumsum(keep)])
+    codes, starts = codes[keep], places[starts]
+    # runs of single letters: the blanks within go
+    blank = np.flatnonzero(codes == _BLANK)
+    if len(blank) > 3:
+        single = (np.diff(blank) == 2) & (codes[np.minimum(blank[:-1] + 1, len(codes) - 1)] > 0)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+        first, last = edge[0::2], edge[1::2]
+        runs = [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b - a >= LENGTH]
+        if runs:
+            keep = np.ones(len(codes), bool)
+            for a, b in runs:
+                keep[blank[a + 1 : b]] = False
+            places = np.concatenate([[0], np.cumsum(keep)])
+            codes, starts = codes[keep], places[starts]
+    return codes, starts
+
+
+def _subsequences(codes: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, float]]:
+    """For each pattern of gaps the numbers of the subsequences that begin at places 0 to n, and their weight. codes go on for SPAN - 1 places."""
+    wide = codes.astype(np.int32)
+    first = {b: wide[:n] * _BASE + wide[b : n + b] for b in range(1, SPAN - LENGTH + 2)}
+    for _, b, c, d in _PATTERNS:
+        yield (first[b] * _BASE + wide[c : n + c]) * _BASE + wide[d : n + d], DECAY ** (d + 1)
+
+
+def _valid() -> np.ndarray:
+    """Whether a number stands for four characters."""
+    pairs = np.logical_and.outer(np.arange(_BASE) > 0, np.arange(_BASE) > 0).ravel()
+    return np.logical_and.outer(pairs, pairs).ravel()
+
+
+_SCALE = 1 / np.sqrt(WINDOW * sum(DECAY ** (2 * (p[-1] + 1)) for p in _PATTERNS))
+
+
+def margins(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each place the kernel expansion's value of the window that begins there: sums of a table over subsequences."""
+    n = len(codes)
+    out = np.empty(n, np.float32)
+    for low in range(0, n, CHUNK):
+        m = min(CHUNK, n - low) + WINDOW - 1
+        part = np.zeros(m + SPAN, np.uint8)
+        piece = codes[low : low + m + SPAN]
+        part[: len(piece)] = piece
+        each = np.zeros(m + 1, np.float64)
+        for numbers, weight in _subsequences(part, m):
+            each[1:] += weights[numbers] * np.float32(weight)
+        sums = np.cumsum(each)
+        out[low : low + m - WINDOW + 1] = (sums[WINDOW:] - sums[:-WINDOW]) * _SCALE
     return out
 
 
-def varied(word: str) -> list[str]:
-    """A word with a letter put in, at two places: virtual examples."""
-    at = len(word) // 2
-    return [word[:k] + "xqk"[(k + len(word)) % 3] + word[k:] for k in (at, at + 1)] if len(word) > 3 else []
+class Windows:
+    """The subsequences of single windows, a row of numbers for each; windows are so many codes from their place on."""
 
+    WIDTH = WINDOW + SPAN - 1
 
-class Model:
-    """Weights of subsequences, and the logistic of a text's worst margin."""
+    def __init__(self, windows: np.ndarray):
+        self.codes = np.ascontiguousarray(windows, np.uint8).reshape(-1, self.WIDTH)
+        wide = self.codes.astype(np.int32)
+        numbers, weights = [], []
+        for p in _PATTERNS:
+            a, b, c, d = (wide[:, k : k + WINDOW] for k in p)
+            numbers.append(((a * _BASE + b) * _BASE + c) * _BASE + d)
+            ok = (a > 0) & (b > 0) & (c > 0) & (d > 0)
+            weights.append(np.where(ok, np.float32(DECAY ** (p[-1] + 1) * _SCALE), np.float32(0)))
+        self.numbers, self.values = np.concatenate(numbers, axis=1), np.concatenate(weights, axis=1)
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
-        self.seen: dict[str, float] = {}
+    def __len__(self) -> int:
+        return len(self.codes)
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([Strings(words[k : k + 20000]).dot(self.weights) + self.bias for k in range(0, len(words), 20000)] or [np.empty(0)])
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return (weights[self.numbers] * self.values).sum(axis=1)
+
+    def norms(self) -> np.ndarray:
+        """The kernel of each window with itself: equal subsequences meet each other."""
+        order = np.argsort(self.numbers, axis=1)
+        numbers, values = np.take_along_axis(self.numbers, order, 1), np.take_along_axis(self.values, order, 1)
+        new = np.ones(numbers.shape, bool)
+        new[:, 1:] = numbers[:, 1:] != numbers[:, :-1]
+        sums = np.add.reduceat(values.ravel(), np.flatnonzero(new.ravel())).astype(np.float64)
+        return np.bincount(np.repeat(np.arange(len(new)), new.sum(axis=1)), sums**2, len(new))
+
+    def table(self, coefficients: np.ndarray) -> np.ndarray:
+        """The sum of the windows' features, each times its coefficient, as a table."""
+        out = np.zeros(_BASE**LENGTH, np.float64)
+        np.add.at(out, self.numbers.ravel(), (self.values * coefficients[:, None]).ravel())
+        return out.astype(np.float32)
+
+
+def kernel(rows: Windows, marks: Windows) -> np.ndarray:
+    """The kernel between windows, a column for each mark."""
+    out, table = np.zeros((len(rows), len(marks))), np.zeros(_BASE**LENGTH, np.float32)
+    for k in range(len(marks)):
+        np.add.at(table, marks.numbers[k], marks.values[k])
+        out[:, k] = rows.dot(table)
+        table[marks.numbers[k]] = 0
+    return out
 
-    def worst(self, bags: list[list[str]]) -> list[float]:
-        """Each bag's largest margin; -2 for a bag without words."""
-        seen = self.seen
-        if len(seen) > MEMORY:
-            seen.clear()
-        new = list({w for words in bags for w in words if w not in seen})
-        seen.update(zip(new, self.margins(new).tolist(), strict=True))
-        return [max(map(seen.__getitem__, words), default=-2.0) for words in bags]
 
-    def scores(self, texts: list[str]) -> list[float]:
-        z = self.slope * np.array(self.worst([words_of(t) for t in texts])) + self.shift
-        return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
+def nystroem(marks: Windows) -> np.ndarray:
+    """The landmarks' kernel matrix to the power -1/2, without directions that it lacks: kernel(x, marks) times it are x's features."""
+    own = kernel(marks, marks)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
+    return vector[:, value > 1e-5] / np.sqrt(value[value > 1e-5])
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights of least norm and squared hinge loss, by Newton steps; the last column of z is the bias."""
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(len(w))
+def machine(parts: list[tuple[np.ndarray, float, float]], start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of least norm and squared hinge loss for parts (features, label, cost), by Newton steps; the last feature is the bias."""
+    n = parts[0][0].shape[1]
+    w, ridge = np.zeros(n) if start is None else start, np.eye(n)
     ridge[-1, -1] = 1e-3
-    for _ in range(25):
-        active = y * (z @ w) < 1
-        za = z[active] * cost[active, None]
-        new = np.linalg.solve(ridge + za.T @ z[active], za.T @ y[active])
-        if np.allclose(new, w, atol=1e-6):
+    for _ in range(30):
+        left, right = ridge.copy(), np.zeros(n)
+        for z, y, cost in parts:
+            for k in range(0, len(z), ROWS):
+                some = z[k : k + ROWS].astype(np.float64)
+                some = some[y * (some @ w) < 1]
+                left += cost * (some.T @ some)
+                right += cost * y * some.sum(axis=0)
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w
 
 
-def _apart(bags: list[list[str]], labels: list[int]) -> tuple[list[list[str]], list[int]]:
-    """One bag of each group of near copies with the same label: those whose three least word hashes agree. Empty bags go."""
-    seen: dict[tuple, list[str]] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        if bag:
-            seen.setdefault((y, *sorted(crc32(w.encode()) for w in bag)[:3]), bag)
-    return list(seen.values()), [k[0] for k in seen]
+class Bags:
+    """The sentences of one class in folded form, a sentence that occurs again left out: codes, and for each sentence its text and place."""
+
+    def __init__(self, texts: list[str]):
+        parts, starts, owners, seen, at = [], [], [], set(), 0
+        for number, text in enumerate(texts):
+            codes, _ = folded([text])
+            cuts = np.flatnonzero(codes == 0)
+            sentences = [codes[a:b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(codes)], strict=True) if b - a > 2]
+            hashed = sorted((crc32(s), k) for k, s in enumerate(sentences))
+            for h, k in hashed[:SENTENCES]:
+                key = (h, len(sentences[k]))
+                if key in seen:
+                    continue
+                seen.add(key)
+                parts += [sentences[k], np.zeros(_GAP, np.uint8)]
+                starts.append(at)
+                owners.append(number)
+                at += len(sentences[k]) + _GAP
+        self.codes = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.starts, self.owners, self.n = np.array(starts, np.int64), np.array(owners, np.int64), len(texts)
+        self.sizes = np.diff(np.concatenate([self.starts, [at]])) - _GAP
+
+    def shares(self) -> np.ndarray:
+        """Each subsequence's share of the texts that have it."""
+        out = np.zeros(_BASE**LENGTH, np.float64)
+        bounds = np.flatnonzero(np.diff(np.concatenate([[-1], self.owners]))).tolist()
+        for a, b in zip(bounds, [*bounds[1:], len(self.owners)], strict=True):
+            low, high = int(self.starts[a]), int(self.starts[b - 1] + self.sizes[b - 1])
+            part = np.concatenate([self.codes[low:high], np.zeros(SPAN, np.uint8)])
+            out[np.unique(np.concatenate([numbers for numbers, _ in _subsequences(part, high - low)]))] += 1
+        return out / max(1, len(bounds))
+
+    def worst(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(margin, place) of each sentence's worst window."""
+        top, place = np.empty(len(self.starts)), np.empty(len(self.starts), np.int64)
+        ends = self.starts + self.sizes + _GAP
+        a = 0
+        while a < len(self.starts):
+            b = max(a + 1, int(np.searchsorted(ends, self.starts[a] + CHUNK, "right")))
+            low, high = int(self.starts[a]), int(ends[b - 1])
+            value, starts = margins(self.codes[low:high], weights), self.starts[a:b] - low
+            best = np.maximum.reduceat(value, starts)
+            hits = np.flatnonzero(value == np.repeat(best, ends[a:b] - self.starts[a:b]))
+            top[a:b], place[a:b] = best, hits[np.searchsorted(hits, starts)] + low
+            a = b
+        return top, place
+
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        """The codes of windows."""
+        padded = np.concatenate([self.codes, np.zeros(Windows.WIDTH, np.uint8)])
+        return padded[places[:, None] + np.arange(Windows.WIDTH)]
+
+    def some(self, n: int) -> np.ndarray:
+        """Windows at places by hash, n at most."""
+        inside = np.flatnonzero(self.codes > 0)
+        if not len(inside):
+            return np.empty((0, Windows.WIDTH), np.uint8)
+        order = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+        return self.windows(np.unique(inside[(order % np.uint64(len(inside))).astype(np.int64)]))
+
+
+def varied(windows: np.ndarray) -> np.ndarray:
+    """The windows with a letter put in in their middle: virtual examples of inserted characters."""
+    at = Windows.WIDTH // 2
+    put = np.array([24, 17, 11], np.uint8)[np.arange(len(windows)) % 3]  # x, q, k
+    return np.concatenate([windows[:, :at], put[:, None], windows[:, at:-1]], axis=1)
+
+
+def _landmarks(toxic: Bags, clean: Bags, witness: np.ndarray) -> np.ndarray:
+    """Windows of toxic sentences where the classes differ most, each the most telling one that none taken is alike, and windows of clean sentences."""
+    value, place = toxic.worst(witness)
+    found = Windows(np.unique(toxic.windows(place[np.argsort(-value, kind="stable")[:SEEN]]), axis=0))
+    left, norm = found.dot(witness), np.sqrt(found.norms())
+    taken: list[int] = []
+    while len(taken) < LANDMARKS // 2 and left.max(initial=-np.inf) > -np.inf:
+        k = int(np.argmax(left))
+        taken.append(k)
+        left[kernel(found, Windows(found.codes[k : k + 1]))[:, 0] >= ALIKE * norm * norm[k]] = -np.inf
+        left[k] = -np.inf
+    return np.concatenate([found.codes[taken], clean.some(LANDMARKS - len(taken))])
+
+
+class Model:
+    """Weights of subsequences, and the logistic of a text's worst margin."""
+
+    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
+        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """Each text's largest margin, -2 at least; what a text without windows has."""
+        if not texts:
+            return np.empty(0)
+        codes, starts = folded(texts)
+        value = margins(codes, self.weights) + np.float32(self.bias)
+        value[codes == 0] = _LEAST  # a window begins with a character
+        return np.clip(np.maximum.reduceat(value, starts[:-1]), _LEAST, _MOST).astype(np.float64)
 
-def _marked(bad: Counter, good: Counter, share: float) -> list[str]:
-    """Words found in toxic bags more often than chance allows for any word as frequent, most telling first."""
-    found = []
-    often = np.sort([n + good[w] for w, n in bad.items()])
-    for w, n in bad.items():
-        total = n + good[w]
-        p = min(n / total, 1 - 1e-9)
-        if p > max(0.8, share):
-            tail = total * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))  # Chernoff's bound
-            if tail > np.log(2.0 * (len(often) - np.searchsorted(often, total)) + 2.0):
-                found.append((-tail, w))
-    return [w for _, w in sorted(found)]
+    def scores(self, texts: list[str]) -> list[float]:
+        z = self.slope * self.worst(texts) + self.shift
+        return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
 def train(texts: list[str], labels: list[int]) -> Model | None:
-    """Fits the model to labelled texts; None without texts of both classes."""
-    bags, y_of = _apart([sorted(set(words_of(t))) for t in texts], labels)
-    toxic = [b for b, y in zip(bags, y_of, strict=True) if y]
-    clean = [b for b, y in zip(bags, y_of, strict=True) if not y]
-    if not toxic or not clean:
+    """Fits the model to labelled texts; None without a sentence of either class."""
+    toxic, clean = (Bags([t for t, y in zip(texts, labels, strict=True) if y == k]) for k in (1, 0))
+    if not len(toxic.starts) or not len(clean.starts):
         return None
-    fold = {w: folded(w) for b in bags for w in b}
-    bad, good = (Counter(f for b in some for f in {fold[w] for w in b} if f) for some in (toxic, clean))
-    first = _marked(bad, good, len(toxic) / len(bags))
-    by_hash = sorted(good, key=lambda w: (crc32(w.encode()), w))
-    landmarks = list(dict.fromkeys([*first[: LANDMARKS // 2], *by_hash[: LANDMARKS // 2]]))
-    marks = [Strings([m]) for m in landmarks]
-    own = kernel(Strings(landmarks), marks)
-    value, vector = np.linalg.eigh((own + own.T) / 2)
-    root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])  # K_mm to the power -1/2
-    space: dict[str, np.ndarray] = {}
-
-    def features(words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in space]
-        if new:
-            space.update(zip(new, kernel(Strings(new), marks) @ root, strict=True))
-        return np.array([space[w] for w in words])
-
-    bad_words, good_words = sorted(bad), sorted(good)
-    all_bad, all_good = Strings(bad_words), Strings(good_words)
-    place = {w: k for k, w in enumerate(bad_words)}
-    inside = [np.array(sorted({place[fold[w]] for w in b if fold[w]})) for b in toxic]
-    inside = [i for i in inside if len(i)]
-    common = np.array([good[w] > 1 for w in bad_words])
-    positive = anchors = set(first)
-    negative = set(by_hash[: 4 * LANDMARKS])
-    weights, bias = np.empty(0, np.float32), 0.0
+    # difference of the classes' shares, each over its deviation, smoothed by a few texts
+    p, q, valid = toxic.shares(), clean.shares(), _valid()
+    witness = ((p - q) / np.sqrt(p + q + 4.0 / toxic.n) * valid).astype(np.float32)
+    marks = Windows(_landmarks(toxic, clean, witness))
+    root = nystroem(marks)
+
+    def features(windows: np.ndarray) -> np.ndarray:
+        out = np.ones((len(windows), root.shape[1] + 1), np.float32)
+        for k in range(0, len(windows), ROWS):
+            out[k : k + ROWS, :-1] = kernel(Windows(windows[k : k + ROWS]), marks) @ root
+        return out
+
+    near, where = clean.worst(witness)
+    pool = np.unique(np.concatenate([clean.some(4 * LANDMARKS), clean.windows(where[np.argsort(-near, kind="stable")[:HARD]])]), axis=0)
+    z_pool, w = [features(pool)], None  # clean windows; the last machine
+
+    def fitted(held: np.ndarray, place: np.ndarray, turns: int) -> tuple[np.ndarray, float, float]:
+        """(weights, bias, margin that few clean texts reach) of a machine for the windows held to be toxic; clean windows that come too near join the pool."""
+        nonlocal w
+        positive = np.unique(toxic.windows(place[held]), axis=0)
+        own = [(features(positive), 1.0, COST), (features(varied(positive)), 1.0, COST / 4)]
+        for turn in range(turns + 1):
+            w = machine([*own, *((z, -1.0, COST) for z in z_pool)], w)
+            weights, bias = (marks.table(root @ w[:-1]) * valid).astype(np.float32), float(w[-1])
+            near, where = clean.worst(weights)
+            near = near + bias
+            order = np.argsort(-near, kind="stable")[:HARD]
+            order = order[near[order] > -1]
+            if turn == turns or not len(order):
+                break
+            z_pool.append(features(clean.windows(where[order])))
+        return weights, bias, float(np.quantile(_best(near, clean)[clean.owners], RARE))
+
+    # a text is judged by the machine of the other half, so that none vouches for itself
+    half = toxic.owners % 2
+    value, place = toxic.worst(witness)
+    held = value > np.quantile(_best(near, clean)[clean.owners], RARE)
+    held = held if held.any() else value >= _best(value, toxic)[toxic.owners]
     for _ in range(ROUNDS):
-        toxic_words = sorted(positive | {v for w in anchors for v in varied(w)} - negative)
-        words = toxic_words + sorted(negative)
-        y = np.array([1.0] * len(toxic_words) + [-1.0] * len(negative))
-        z = np.hstack([features(words), np.ones((len(words), 1))])
-        w = _machine(z, y, np.full(len(y), COST))
-        alpha, bias = root @ w[:-1], float(w[-1])
-        weights = np.zeros(_BASE**LENGTH, np.float32)
-        for a, m in zip(alpha, marks, strict=True):
-            np.add.at(weights, m.codes, (a * m.values).astype(np.float32))
-        of_bad, of_good = all_bad.dot(weights) + bias, all_good.dot(weights) + bias
-        # a toxic bag without a toxic word so far is held to its worst word, unless clean bags hold it as well
-        of_bad[common] = -9
-        positive = anchors | {bad_words[i[np.argmax(of_bad[i])]] for i in inside if -0.5 < of_bad[i].max() < 0.5}
-        negative |= {good_words[k] for k in np.argsort(-of_good)[: 2 * LANDMARKS] if of_good[k] > -1}
-        negative -= positive
-    model = Model(weights, bias, 1.0, 0.0)
-    worst = np.array(model.worst(bags))
-    y = np.array(y_of, float)
-    z = np.stack([np.clip(worst, -2, 2), np.ones(len(y))], axis=1)
-    fit = np.array([1.0, 0.0])
+        value, least = np.empty(len(half)), np.empty(len(half))
+        for k in (0, 1):
+            other, own = held & (half != k), half == k
+            weights, bias, bound = fitted(other if other.any() else held, place, 1)
+            found, at = toxic.worst(weights)
+            value[own], place[own], least[own] = found[own] + bias, at[own], max(bound, -0.5)
+        right = value > least
+        held = right if right.any() else held
+    weights, bias, bound = fitted(held, place, 3)
+    model, y = Model(weights, bias), np.array(labels, float)
+    worst = np.concatenate([model.worst(texts[k : k + 256]) for k in range(0, len(texts), 256)])
+    right = (y == 0) | (worst > max(bound, -0.5))
+    return Model(weights, bias, *_logistic(worst[right], y[right]))
+
+
+def _best(value: np.ndarray, bags: Bags) -> np.ndarray:
+    """Each text's largest value of its sentences."""
+    best = np.full(bags.n, -np.inf)
+    np.maximum.at(best, bags.owners, value)
+    return best
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic that turns margins into chances; a rising one."""
+    z = np.stack([x, np.ones(len(y))], axis=1)
+    w = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ fit, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        fit = fit - np.linalg.solve(h, z.T @ (p - y) + 1e-2 * fit)
-    return Model(weights, bias, float(fit[0]), float(fit[1]))
+        w = w - np.linalg.solve(h, z.T @ (p - y) + 1e-2 * w)
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def held_out(doc_id):
@@ -251,15 +402,17 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     chosen = known.filter("y = 1").orderBy(*order).limit(sample).unionByName(known.filter("y = 0").orderBy(*order).limit(2 * sample))
     chosen = df.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "of long, y int")  # at most 3 * sample pairs of numbers
     rows = two_columns(df, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "text", "y")
+    rows = rows.groupBy("doc_id", "y", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).drop("h")  # a repeated row counts once
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted({(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        worker_state(("toxicity",), dict)
+        got = sorted((i, t or "", y) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
         model = train([t for _, t, _ in got], [y for _, _, y in got])
         if model is not None:
             head = np.array([model.bias, model.slope, model.shift], np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([head + model.weights.astype(np.float32).tobytes()], pa.binary())], names=["model"])
 
-    made = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    made = in_workers(rows.repartition(1), "toxicity", learn, "model binary").collect()
     return bytes(made[0][0]) if made else None
 
 
@@ -268,24 +421,28 @@ def load(raw: bytes) -> Model:
     return Model(np.frombuffer(raw[12:], np.float32), *map(float, head))
 
 
-def _model(raw: bytes) -> Model:
-    return worker_state(("toxicity", crc32(raw)), lambda: load(raw))
-
-
 def score(df: DataFrame, model: bytes | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """The rows with their score as a further column, the last. No shuffle."""
+    """The rows with their score as a further column, the last, whose name must be new. No shuffle."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
     if model is None:
         return df.withColumn(name, F.lit(0.0))
-    kind, at = StructType([*df.schema.fields, StructField(name, DoubleType())]), df.columns.index(text_col)
+    kind, at, key = StructType([*df.schema.fields, StructField(name, DoubleType())]), df.columns.index(text_col), ("toxicity", crc32(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(model)
+        own: Model = worker_state(key, lambda: load(model))
         for batch in batches:
-            for part in slices(batch, at, 256):
+            for part in slices(batch, at, 256, CHUNK):
                 found = own.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, kind)
+    return in_workers(df, "toxicity", run, kind)
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that a machine trained on those of them that are labelled doesn't reject; columns as they are."""
+    name = fresh(df, "score")
+    return score(df, fit(df, labels), name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

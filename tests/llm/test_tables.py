@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -286,10 +287,74 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, raw, name="_p").count() == 0
 
 
+def plain_subsequences(window):
+    """Every subsequence of LENGTH characters that begins in the window, with all gaps up to SPAN, by enumeration."""
+    found = Counter()
+    for at in range(toxicity.WINDOW):
+        for rest in combinations(range(at + 1, at + toxicity.SPAN), toxicity.LENGTH - 1):
+            letters = tuple(int(window[k]) for k in (at, *rest))
+            if 0 not in letters:
+                found[letters] += toxicity.DECAY ** (rest[-1] - at + 1)
+    return found
+
+
 def test_string_kernel():
-    words_ = ["idiot", "idxiot", "table"]
-    k = toxicity.kernel(toxicity.Strings(words_), [toxicity.Strings([w]) for w in words_])
-    assert np.allclose(k, k.T) and 0.9 < k[0, 0] < 1.2 and k[0, 1] > 0.2 > k[0, 2]
+    """The kernel and the sliding margins against enumerated subsequences."""
+    codes, starts = toxicity.folded(["You are an id-iot, a b c d! haha hahaha", "", "Été 1diot"])
+    assert len(starts) == 4 and not codes[starts[1] + 1 : starts[2]].any()
+    places = np.flatnonzero(codes)
+    windows = np.concatenate([codes, np.zeros(toxicity.Windows.WIDTH, np.uint8)])[places[:, None] + np.arange(toxicity.Windows.WIDTH)]
+    own = toxicity.Windows(windows)
+    plain = [plain_subsequences(w) for w in windows]
+    norm = toxicity._SCALE**2
+    want = np.array([[norm * sum(n * y[c] for c, n in x.items()) for y in plain] for x in plain])
+    got = toxicity.kernel(own, own)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-6) and np.allclose(own.norms(), np.diag(want), rtol=1e-4)
+    alpha = np.sin(np.arange(len(windows)))
+    assert np.allclose(toxicity.margins(codes, own.table(alpha))[places], want @ alpha, rtol=1e-3, atol=1e-4)
+    root = toxicity.nystroem(own)
+    z = got @ root
+    assert np.allclose(z @ z.T, want, atol=2e-2)  # with all windows as landmarks the space is exact
+
+
+def test_machine_is_optimal():
+    """Newton's solution has no slope: the squared hinge loss and the norm balance in every direction."""
+    r = np.random.default_rng(3)
+    z = np.hstack([r.normal(size=(300, 12)), np.ones((300, 1))])
+    y = np.sign(z[:, 0] + 0.5 * r.normal(size=300))
+    parts = [(z[y > 0], 1.0, 5.0), (z[y < 0], -1.0, 5.0)]
+    w = toxicity.machine(parts)
+    ridge = np.ones(13)
+    ridge[-1] = 1e-3
+    slack = np.maximum(0, 1 - y * (z @ w))
+    assert np.abs(ridge * w - 5.0 * z.T @ (y * slack)).max() < 1e-6
+
+
+def test_toxicity_across_words():
+    """Insults of two words, and letters put in or set apart."""
+    r, rows = random.Random(5), []
+    for k in range(400):
+        w = prose(50_000 + k, r.randint(20, 60)).split(" ")
+        if k % 4 == 0:
+            w.insert(r.randrange(len(w)), r.choice(["filthy vermin", "utter buffoon"]))
+        rows.append((" ".join(w), int(k % 4 == 0)))
+    model = toxicity.train(*map(list, zip(*rows[:300], strict=True)))
+    p = np.array(model.scores([t for t, _ in rows[300:]]))
+    y = np.array([y for _, y in rows[300:]])
+    assert np.mean((p >= 0.5) == y) > 0.95
+    assert min(model.scores(["oh, filthy vermin", "oh, f i l t h y vermin", "you filthy verrmin", "you filt.hy ver-min"])) > 0.5
+
+
+def test_toxicity_copies(spark):
+    """Drops toxic rows and keeps all columns, whatever their names; labels of no row reject nothing."""
+    rows = labelled(4, 300)
+    docs = frame(spark, [(d, t) for d, t, _ in rows])
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert {d for d, _, y in rows if not y} - ids == set() and len({d for d, _, y in rows if y} & ids) < 8
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
 
 
 def test_pipeline(spark, tmp_path):
