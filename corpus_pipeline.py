@@ -2,12 +2,16 @@
 
 Toxic documents go, one document of each group of near duplicates stays, secrets are masked, sources are mixed to
 their target weights (documents are left out or repeated), and what is left is packed into sequences. All but
-the last return the columns of documents."""
+the last return the columns of documents.
+
+Results: rows of null id take part in every stage; null and empty texts are neither toxic nor near duplicates nor secret,
+and the mix leaves them out, as they have no words; repeated rows are near duplicates of each other if they have words; an
+empty table gives an empty table; columns, of any name, stay as they are up to the last stage. Without labels nothing is
+toxic. Each stage's result is written to the shared folder and read again, so that a lost executor costs no earlier stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillgrid.llm import mixing, ngram_join, packing, secret_scan, toxicity
 from quillgrid.llm.common import stored, table, tokenizer_path
@@ -15,9 +19,7 @@ from quillgrid.llm.common import stored, table, tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, trained on those of them that are labelled, doesn't reject."""
-    names = docs.columns
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), name="_score")
-    return scored.filter(F.col("_score") < 0.5).select(*names)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
