@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are numbered together, about.
+TOGETHER = 100_000
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place, from 0, in an order that should tell all apart. Ranges of rows are numbered apart; only their sizes meet."""
+    parts, part = max(1, -(-df.count() // TOGETHER)), fresh(df, "part")
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = ranged.groupBy(F.col(part).alias("of")).agg(F.count("*").alias("n")).select(F.col("of").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    of, at = (fresh(df, n) for n in ("of", "first"))
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    placed = ranged.withColumn(name, within).join(first.toDF(of, at), F.col(part) == F.col(of))
+    return placed.withColumn(name, (F.col(name) + F.col(at)).cast("long")).drop(part, of, at)
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with so many rows at most, and so many bytes of a text column or else one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
