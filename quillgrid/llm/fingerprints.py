@@ -1,21 +1,26 @@
 r"""Operator 5 [native]: document fingerprints by consistent weighted sampling.
 
-A text's terms are its words ``[^\x20\x09-\x0D]+``; a term's weight is the largest power of two not above
-its count. For each of SAMPLES samples and each term of weight S, r and c are Gamma(2, 1) and b is uniform,
-all drawn by hashes of term and sample; t = floor(ln S / r + b), and the term with the least
-ln c - r (t - b + 1) is sampled, with its t. Two texts agree in a sample with the probability of their
-generalised Jaccard similarity. A fingerprint is the samples' hashes of 24 bits, in hexadecimal digits.
-
-A value and its hash are packed into one whole number, so that a sample is a plain minimum. Texts are shuffled
-once by id; next texts' beginnings are sent to where they are needed; terms are never shuffled.
-
-Results: null and empty texts have no terms and a fingerprint of f digits, like each other's (1.0) and no
-text's with terms; rows of null id are left out; of rows that share an id the one with the least text counts and
-comes back once; a single document is its own next; an empty table gives an empty table; other columns are ignored.
+A text's terms are its words ``[^\x20\x09-\x0D]+``; a term's weight S is its count. For each of SAMPLES samples
+and each term, r and c are Gamma(2, 1) and b is uniform, all drawn by hashes of term and sample;
+t = floor(ln S / r + b), and the term with the least ln c - r (t - b + 1) is sampled, with its t. Two texts agree
+in a sample with the probability of their generalised Jaccard similarity: the sum of the lesser counts over the
+sum of the greater ones. A fingerprint is the samples' hashes of 24 bits, in hexadecimal digits; the likeness of two is
+the share of samples that agree, with a standard error of 1 / (2 sqrt(SAMPLES)) at most.
+
+A text's words are hashed and sorted in one array and counted as the distances between the last ones of equal
+hashes. A value and its hash are packed into one whole number, so that a sample is a plain minimum. Texts are shuffled
+once by id and hash; next texts' beginnings are sent to where they are needed; terms are never shuffled.
+
+Results: rows come back one for one. Their order is that of ids, null last, then of the texts' hashes; rows alike in
+both are worked on once, each but the last of them followed by its like. Null and empty texts have no terms and a fingerprint of f
+digits, like each other's (1.0) and no text's with terms; a single row is its own next; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,41 +50,51 @@ def _packed_sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(value.cast("long"), 24).bitwiseOR(F.pmod(h3 + t * 0x9E3779B1, F.lit(_MASK)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(text: Column) -> Column:
+    """array<struct<term, n>>: the hashes of a text's distinct words and their counts."""
+
+    def lasts(sorted_: Column) -> Column:
+        each = F.transform(sorted_, lambda x, i: F.struct(x.alias("term"), i.alias("at"), F.coalesce(F.get(sorted_, i + 1) != x, F.lit(True)).alias("last")))
+        return F.filter(each, lambda e: e["last"])
+
+    def counted(ends: Column) -> Column:
+        return F.transform(ends, lambda e, k: F.struct(e["term"].alias("term"), (e["at"] - F.coalesce(F.get(ends, k - 1)["at"], F.lit(-1))).alias("n")))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
+    return _let(_let(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), lasts), counted)
+
+
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
     """(keys, signature array<int>) of texts that have terms. Rows must lie by a subset of keys for no shuffle to be needed."""
-    each = texts.select(*keys, F.sort_array(F.transform(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))).alias("terms"))
-    each = each.select(*keys, "terms", F.posexplode("terms").alias("at", "term"))
-    # the last of equal hashes stands for all; how far equal ones reach back gives the weight
-    each = each.filter((F.col("term") != F.xxhash64(F.lit(""))) & ~F.coalesce(F.get("terms", F.col("at") + 1) == F.col("term"), F.lit(False)))
-    each = each.select(*keys, "term", _log_weight(F.col("terms"), F.col("at"), F.col("term")).alias("log_weight"))
+    each = texts.select(*keys, F.explode(term_counts(F.col(text_col))).alias("t")).select(*keys, F.col("t.term").alias("term"), F.log("t.n").alias("log_weight"))
     least = each.groupBy(*keys).agg(*(F.min(_packed_sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)))
     return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples))).alias("signature"))
 
 
-def _log_weight(terms: Column, at: Column, term: Column) -> Column:
-    """ln of the largest power of two that is not above the number of equal hashes that end at a place."""
-
-    def reaches(power: int) -> Column:
-        return F.coalesce(F.get(terms, at - ((1 << power) - 1)) == term, F.lit(False))
+_KEY = ("gone", "id", "h")
 
-    def level(power: int) -> Column:
-        weight = F.lit(power * 0.6931471805599453)
-        return weight if power == 24 else F.when(reaches(power + 1), level(power + 1)).otherwise(weight)
 
-    return level(0)
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct texts by key, rows of each key with their number): a key is an id, or none, and a text's hash."""
+    docs = two_columns(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.select(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("h"), "text")
+    groups = stored(docs.groupBy(*_KEY).agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("rows")))
+    return (docs if groups.filter("rows > 1").isEmpty() else docs.groupBy(*_KEY).agg(F.min("text").alias("text"))), groups
 
 
-def _nexts(ids: DataFrame) -> tuple[DataFrame, bool]:
-    """((doc_id, n_chars, next) of distinct ids in ascending order, after the last the first; whether ids repeat). Ranges of ids are
-    ordered apart; only their ends meet."""
-    parts = max(1, -(-ids.count() // TOGETHER))
-    ranged = stored(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()))
-    counted = stored(ranged.groupBy("part", "doc_id").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("rows")))
-    after = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    ends = counted.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row a range
+def _nexts(groups: DataFrame) -> DataFrame:
+    """The keys with `next`, the key after them in ascending order, after the last the first. Ranges are ordered apart; only their ends meet."""
+    parts = max(1, -(-groups.count() // TOGETHER))
+    ranged = stored(groups.repartitionByRange(parts, *_KEY).withColumn("part", F.spark_partition_id()))
+    after = F.lead(F.struct(*_KEY)).over(Window.partitionBy("part").orderBy(*_KEY))
+    ends = ranged.groupBy("part").agg(F.min(F.struct(*_KEY)).alias("first"))  # a row a range
     ends = ends.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.min("first").over(Window.partitionBy())).alias("beyond"))
-    found = counted.withColumn("after", after).join(ends, "part").select("doc_id", "n_chars", F.coalesce("after", "beyond").alias("next"))
-    return found, not counted.filter("rows > 1").isEmpty()
+    return ranged.withColumn("after", after).join(ends, "part").select(*_KEY, "n_chars", "rows", F.coalesce("after", "beyond").alias("next"))
 
 
 def _hex(signature: Column) -> Column:
@@ -92,45 +107,46 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, signature) of every document."""
-    docs = two_columns(df, id_col, text_col).filter("doc_id IS NOT NULL")
-    docs = docs.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    none = F.array_repeat(F.lit(_MASK), samples)
-    found = docs.select("doc_id").join(signatures(docs, ["doc_id"], "text", samples), "doc_id", "left").withColumn("signature", F.coalesce("signature", none))
-    return found.select("doc_id", _hex(F.col("signature")).alias("fingerprint"), "signature")
+    """(doc_id, fingerprint, signature) of every row."""
+    docs, groups = _keyed(df, id_col, text_col)
+    found = groups.join(signatures(docs, list(_KEY), "text", samples), list(_KEY), "left").withColumn("signature", F.coalesce("signature", F.array_repeat(F.lit(_MASK), samples)))
+    return found.select(_doc_id(), _hex(F.col("signature")).alias("fingerprint"), "signature", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row")).drop("row")
+
+
+def _doc_id() -> Column:
+    return F.when(~F.col("gone"), F.col("id")).alias("doc_id")
 
 
 def edited_fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of the text edited with the next document's beginning, and their likeness."""
-    docs = two_columns(df, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    order, repeated = _nexts(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")))
-    if repeated:
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    order = stored(order)
-    asked = order.select(F.col("next").alias("doc_id"), F.col("doc_id").alias("asking"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    heads = docs.join(asked, "doc_id").select(F.col("asking").alias("doc_id"), F.expr("substring(text, 1, half)").alias("head"))
+    docs, groups = _keyed(df, id_col, text_col)
+    order, key = stored(_nexts(groups)), list(_KEY)
+    # what a key's last row needs of the next key, and its other rows of the key itself
+    own = F.struct(*_KEY)
+    asks = F.array(F.struct(F.lit(0).alias("turn"), F.col("next").alias("next"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(1).alias("turn"), own.alias("next"), (F.col("rows") - 1).alias("times")))
+    asked = order.select(*key, F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.explode(F.filter(asks, lambda a: a["times"] > 0)).alias("ask")).select(*key, "half", "ask.*")
+    heads = docs.join(asked.select(F.struct(*_KEY).alias("asking"), "half", "turn", "times", "next.*"), key)
+    heads = heads.select("asking.*", "turn", "times", own.alias("next"), F.expr("substring(text, 1, half)").alias("head"))
     half = F.floor(F.length("text") / 2).cast("int")
-    both = docs.join(heads, "doc_id").select("doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.col("head")).alias("edited"))
-    sides = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("side", "text"))
+    both = docs.join(heads, key).select(*key, "turn", "times", "next", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.col("head")).alias("edited"))
+    sides = both.select(*key, "turn", F.posexplode(F.array("text", "edited")).alias("side", "text"))
     none = F.array_repeat(F.lit(_MASK), samples)
-    each = signatures(sides, ["doc_id", "side"], "text", samples)
-    pairs = each.groupBy("doc_id").agg(*(F.max(F.when(F.col("side") == s, F.col("signature"))).alias(n) for s, n in enumerate(("own", "changed"))))
-    plain = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    known = stored(plain.join(pairs, "doc_id", "left").withColumns({c: F.coalesce(c, none) for c in ("own", "changed")}))
-    after = known.select(F.col("doc_id").alias("next"), F.col("own").alias("following"))
-    return (
-        known.join(order.select("doc_id", "next"), "doc_id")
-        .join(after, "next")
-        .select(
-            "doc_id",
-            "n_chars",
-            "edited_sha256",
-            _hex(F.col("own")).alias("fingerprint"),
-            _hex(F.col("changed")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-            likeness(F.col("own"), F.col("following")).alias("near_next"),
-        )
+    each = signatures(sides, [*key, "turn", "side"], "text", samples)
+    pairs = each.groupBy(*key, "turn").agg(*(F.max(F.when(F.col("side") == s, F.col("signature"))).alias(n) for s, n in enumerate(("own", "changed"))))
+    plain = both.select(*key, "turn", "times", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    known = stored(plain.join(pairs, [*key, "turn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own", "changed")}))
+    after = known.filter("turn = 0").select(own.alias("next"), F.col("own").alias("following"))
+    found = known.join(after, "next").select(
+        _doc_id(),
+        "n_chars",
+        "edited_sha256",
+        _hex(F.col("own")).alias("fingerprint"),
+        _hex(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("row"),
     )
+    return found.drop("row")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
