@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, two_columns
+from .common import stored, table, two_columns
 
 #: A tree: a shard's number, or (name, children).
 Tree = int | tuple
@@ -69,29 +69,34 @@ TOGETHER = 4096
 def assign_shards(df: DataFrame, tree: Tree | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard, slot and the shard after one more is added, for every row.
 
-    Slots: a shard's rows fall into buckets of about TOGETHER rows by a hash of the id; each is numbered
+    Slots: rows alike in id and text are counted; a shard's rows fall into buckets of about TOGETHER by a hash of both; each is numbered
     alone and begins where the buckets before it end. Only numbers are shuffled, never a text."""
     tree = even_tree() if tree is None else tree
     rows = two_columns(df, id_col, text_col)
     shards = weight(tree)
     buckets = max(1, df.count() // (TOGETHER * shards))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = rows.select(
+    alike = rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        shard_of(key, tree).cast("int").alias("shard"),
-        shard_of(key, grown_tree(tree)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    counted = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    alike = alike.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("rows"))
+    placed = stored(
+        alike.select(
+            "*",
+            shard_of(key, tree).cast("int").alias("shard"),
+            shard_of(key, grown_tree(tree)).cast("int").alias("grown_shard"),
+            F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket"),
+        )
+    )
+    counted = placed.groupBy("shard", "bucket").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = placed.withColumn("at", F.row_number().over(order) - 1)
-    return numbered.join(first, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), "grown_shard"
-    )
+    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("at", F.coalesce(F.sum("rows").over(order), F.lit(0))).join(first, ["shard", "bucket"])
+    slots = F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.col("at") + F.col("rows") - 1)).alias("slot")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slots, "grown_shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
