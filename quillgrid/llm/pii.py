@@ -8,8 +8,8 @@ posteriors then train a logistic span classifier on kind, votes and length. Base
 further candidate is added if the classifier takes it and it doesn't overlap a base span.
 
 Only counts by pattern, a bounded table, reach the driver; texts aren't shuffled. Expressions are written
-without backtracking over long runs, and match what the contract's plain ones match. Positions are
-code points, ends exclusive.
+without backtracking or recursion over long runs, and match what the contract's plain ones match. Positions are
+code points, ends exclusive; they are added up in runs, so that many matches in a text cost little more than few.
 
 Results: null and empty texts have no spans; rows come back one for one, so repeated rows and null ids stay;
 an empty table gives an empty table; other columns are ignored.
@@ -42,7 +42,7 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Lists of labelers (fixed values): top-level domains, card prefixes, calling codes, country codes, titles and announcing words.
 BASE = (
     # a run of the local part is entered at its start, or where the last match ended
-    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", r"e-?mail|contact|write to|courriel|correo", r"\.(com|org|net|edu|gov|io|de|fr|es|uk)$", "@"),
+    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"e-?mail|contact|write to|courriel|correo", r"\.(com|org|net|edu|gov|io|de|fr|es|uk)$", "@"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"\bip\b|host|server|address|adresse", r"^(?!0|127|22[4-9]|2[3-9])", r"[0-9]\.[0-9]+\."),
     # shorter runs would be dropped; from a run's start all of it is taken
     Kind("card", r"[0-9](?:[ -]?[0-9]){13,}+", r"card|visa|carte|karte|tarjeta|credit", r"^(4|5[1-5]|3[47]|6011|65)", r"[0-9](?:[ -]?[0-9]){13}"),
@@ -61,18 +61,52 @@ ABSTAIN = 2
 BEFORE, EM_STEPS, FIT_STEPS = 40, 60, 300
 
 
+#: Matches whose positions are added up in one run; of more, so many runs as each has matches.
+RUN = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """An array cut into about as many runs as each is long; none is empty."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / size).cast("int")), lambda k: F.slice(items, k * size + 1, size))
+    return F.filter(cut, lambda run: F.size(run) > 0)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match>>: positions from the lengths of what lies between matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, match: string>>))")
+    """array<struct<start, match, before, after>>: positions from the lengths of what lies between matches; before: the
+    BEFORE code points ahead of a match, as far back as the match before; after: the one that follows."""
+    kind = "array<struct<start: bigint, match: string, before: string, after: string>>"
+    none = F.expr(f"cast(array() as {kind})")
 
     def step(state: Column, z: Column) -> Column:
         at = state["at"] + F.length(z["b"])
-        return F.struct((at + F.length(z["m"])).alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("start"), z["m"].alias("match")))).alias("out"))
+        one = F.struct(at.alias("start"), z["m"].alias("match"), F.lower(F.substring(z["b"], -BEFORE, BEFORE)).alias("before"), F.substring(z["a"], 1, 1).alias("after"))
+        return F.struct((at + F.length(z["m"])).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    def placed(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(b.alias("b"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    def width(run: Column) -> Column:
+        return F.aggregate(run, F.lit(0).cast("long"), lambda n, z: n + F.length(z["b"]) + F.length(z["m"]))
+
+    def begins(runs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(runs, start, lambda s, run: F.struct((s["at"] + width(run)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def positions(pairs: Column) -> Column:
+        many = _let(_runs(pairs), lambda runs: F.flatten(F.zip_with(runs, begins(runs), placed)))
+        return F.when(F.size(pairs) <= RUN, placed(pairs, F.lit(0).cast("long"))).otherwise(many)
+
+    def paired(between: Column) -> Column:
+        found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+        return F.filter(F.zip_with(found, F.slice(between, 2, F.size(between)), lambda x, a: F.struct(x["m"].alias("m"), x["b"].alias("b"), a.alias("a"))), lambda x: x["m"].isNotNull())
+
+    return _let(_let(F.split(text, pattern, -1), paired), positions)
 
 
 def _digits(match: Column) -> Column:
@@ -109,22 +143,20 @@ def _vote(yes: Column, no: int) -> Column:
     return F.when(yes, 1).otherwise(no)
 
 
-def _judge(text: Column, k: int) -> Callable[[Column], Column]:
+def _judge(k: int) -> Callable[[Column], Column]:
     """Makes of a match of kind k its struct<start, kind, end, base, code>."""
     kind = KINDS[k]
 
     def judged(c: Column) -> Column:
         match, start = c["match"], c["start"]
-        end = start + F.length(match)
-        before = F.lower(F.substring(text, F.greatest(start - BEFORE, F.lit(0)).cast("int") + 1, F.least(start, F.lit(BEFORE)).cast("int")))
-        around = F.concat(F.when(start > 0, F.substring(text, start.cast("int"), F.lit(1))).otherwise(F.lit(" ")), F.substring(text, (end + 1).cast("int"), F.lit(1)))
         ok = _rule(kind.name, match)
-        votes = (_vote(ok, 0), _vote(match.rlike(kind.known), 0), _vote(before.rlike(kind.context), ABSTAIN), _vote(~around.rlike("[A-Za-z0-9_@]"), 0))
+        around = F.concat(F.substring(c["before"], -1, 1), F.lit(" "), c["after"])
+        votes = (_vote(ok, 0), _vote(match.rlike(kind.known), 0), _vote(c["before"].rlike(kind.context), ABSTAIN), _vote(~around.rlike("[A-Za-z0-9_@]"), 0))
         code = F.lit(k)
         for v in votes:
             code = code * 3 + v
         code = code * 4 + F.least(F.floor(F.length(match) / 8), F.lit(3)).cast("int")
-        return F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), (ok & F.lit(k < len(BASE))).alias("base"), code.alias("code"))
+        return F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(match)).alias("end"), (ok & F.lit(k < len(BASE))).alias("base"), code.alias("code"))
 
     return judged
 
@@ -135,7 +167,7 @@ def _candidates(text: Column) -> Column:
     A kind is looked for in texts that hold what its matches hold; those with digits, in texts with digits."""
 
     def found(k: int) -> Column:
-        return F.when(text.rlike(KINDS[k].holds), F.transform(_matches(text, KINDS[k].pattern), _judge(text, k))).otherwise(none)
+        return F.when(text.rlike(KINDS[k].holds), F.transform(_matches(text, KINDS[k].pattern), _judge(k))).otherwise(none)
 
     none = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint, base: boolean, code: int>>)")
     plain = [k for k, kind in enumerate(KINDS) if kind.name in ("email", "name")]
@@ -210,13 +242,23 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     patterns = found.select(F.explode("found.code").alias("code")).groupBy("code").count()  # kinds * 3^4 * 4 rows at most
     counts = {r[0]: r[1] for r in patterns.collect()}
     taken = classifier(counts, reliabilities(counts)[2])
-    base = F.filter("found", lambda c: c["base"])
+    # base spans in runs with bounds, so that a candidate is held against few of them
+    runs = F.transform(
+        _let(F.filter("found", lambda c: c["base"]), _runs),
+        lambda run: F.struct(F.get(run, F.lit(0))["start"].alias("low"), F.array_max(F.transform(run, lambda b: b["end"])).alias("high"), run.alias("spans")),
+    )
+
+    def meets(runs: Column, c: Column) -> Column:
+        def overlaps(b: Column) -> Column:
+            return (b["start"] < c["end"]) & (c["start"] < b["end"])
+
+        return F.exists(runs, lambda r: (r["low"] < c["end"]) & (c["start"] < r["high"]) & F.exists(r["spans"], overlaps))
 
     def added(c: Column) -> Column:
         return c["code"].isin(*taken) if taken else F.lit(False)
 
-    spans = F.filter("found", lambda c: c["base"] | (added(c) & ~F.exists("bases", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    return found.withColumn("bases", base).select("doc_id", F.transform(spans, lambda c: F.struct(*(c[n].alias(n) for n in ("start", "kind", "end", "base")))).alias("spans"))
+    spans = _let(runs, lambda runs: F.filter("found", lambda c: c["base"] | (added(c) & ~meets(runs, c))))
+    return found.select("doc_id", F.transform(spans, lambda c: F.struct(*(c[n].alias(n) for n in ("start", "kind", "end", "base")))).alias("spans"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
