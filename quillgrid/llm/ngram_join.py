@@ -1,13 +1,13 @@
 """Operator 2: n-gram Jaccard join with rare-first prefix filtering.
 
-Shingles are ordered rare first, by how often a fixed-size sketch of all documents has counted them (in
-octaves), then by hash. Two sets with Jaccard similarity of 0.8 or more share one of their first
+Shingles are ordered rare first, by how often a sketch of fixed size has counted them in all documents beyond the
+noise of its counters (in half octaves), then by hash. Two sets with Jaccard similarity of 0.8 or more share one of their first
 n - ceil(0.8 n) + 1 shingles, so only these are shuffled. Length and positional filters thin the
 candidates out, a suffix filter precedes the exact verification, and a pair is verified once.
 
-A shingle's documents are not expanded into all pairs. The one that has the shingle foremost leads: it is
-paired with each of the others. When these pairs have been verified and linked documents joined into
-components, only documents of a shingle that are still in different components are paired, in blocks.
+A shingle's documents are not expanded into all pairs. They are dealt into parts, more of a frequent shingle. In each
+the one that has the shingle foremost leads: it is paired with each of the others, and the foremost leader with
+the other parts' leaders. When these pairs have been verified and linked documents joined into components, only documents of a shingle that are still in different components are paired, in blocks.
 So no link between components is lost. Texts of equal sets are one node from the start.
 
 Results: null and empty texts have 0 shingles and link with nothing; a null id links with nothing and its
@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_workers, slices, stored, table, two_columns, worker_state
+from .common import in_workers, numbered, slices, stored, table, two_columns, worker_state
 from .components import components
 from .shingles import mixed, shingle_sets
 
 #: Similarity of 80 hundredths, in whole numbers.
 PER_CENT = 80
-#: Counters of the sketch, and of one of its pieces; bits of the filter of candidates.
-SKETCH, PIECE, BITS = 1 << 21, 1 << 16, 1 << 24
-#: Texts hashed together; rows of a block of a shingle's documents.
-TEXTS, ROWS = 128, 4096
+#: Counters of the sketch, and of one of its pieces; most bits of the filter of candidates.
+SKETCH, PIECE, MOST_BITS = 1 << 21, 1 << 16, 1 << 28
+#: Texts hashed together; rows of a part or a block of a shingle's documents.
+TEXTS, ROWS = 128, 2048
 
 _LONG = pa.int64()
 
@@ -87,8 +87,11 @@ def _summary(docs: DataFrame) -> DataFrame:
     return in_workers(docs, "near duplicates", run, "doc_id long, n long, s1 long, s2 long, piece int, counts binary")
 
 
-def _ranks(summary: DataFrame) -> bytes:
-    """For each counter of the sketch its count in octaves: SKETCH bytes, whatever the input."""
+def _ranks(summary: DataFrame) -> tuple[bytes, float]:
+    """For each counter of the sketch its rank: SKETCH bytes, whatever the input; and how many documents a unit of rank stands for.
+
+    What shingles that meet by chance add to a counter is about the same for all: the median. A rank is what a counter
+    has beyond it, in half octaves of the deviation, so that frequent shingles stand out at any size of the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, piece = np.zeros(PIECE, np.int64), None
@@ -96,19 +99,23 @@ def _ranks(summary: DataFrame) -> bytes:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total, piece = total + np.frombuffer(zlib.decompress(raw), np.int64), k
         if piece is not None:
-            rank = np.floor(np.log2(np.maximum(total, 1)) * 2).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(rank.tobytes(), 1)])], names=["piece", "ranks"])
+            noise = float(np.median(total))
+            unit = max(1.0, noise**0.5)
+            rank = np.floor(np.log2(1 + np.maximum(total - noise, 0) / unit) * 2).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(rank.tobytes(), 1)]), pa.array([unit])], names=["piece", "ranks", "unit"])
 
-    pieces = summary.filter("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(lambda t: pa.Table.from_batches(list(add(iter(t.to_batches())))), "piece int, ranks binary")
-    ranks = np.zeros(SKETCH, np.uint8)
+    pieces = summary.filter("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(lambda t: pa.Table.from_batches(list(add(iter(t.to_batches())))), "piece int, ranks binary, unit double")
+    ranks, unit = np.zeros(SKETCH, np.uint8), 1.0
     for row in pieces.collect():
         ranks[row[0] * PIECE : (row[0] + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(row[1])), np.uint8)
-    return ranks.tobytes()
+        unit = max(unit, row[2])
+    return ranks.tobytes(), unit
 
 
-def _prefixes(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """(key, doc, n, at): the rarest shingles of each document; a key's upper byte is its rank. Of texts with equal sets a task sends the first."""
-    small = zlib.compress(ranks, 6)
+def _prefixes(docs: DataFrame, ranks: bytes, unit: float) -> DataFrame:
+    """(key, doc, n, at, part): the rarest shingles of each document; a key's upper byte is its rank. Documents of a shingle that is
+    as frequent as several times ROWS go to numbered parts, others to part 0. Of texts with equal sets a task sends the first."""
+    small, most = zlib.compress(ranks, 6), ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(zlib.decompress(small), np.uint8).astype(np.uint64) << np.uint64(55)
@@ -116,9 +123,10 @@ def _prefixes(docs: DataFrame, ranks: bytes) -> DataFrame:
         keys, ids, sizes, places, held = [], [], [], [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["key", "doc", "n", "at"]
-            )
+            key, doc = np.concatenate(keys), np.concatenate(ids)
+            parts = np.ceil(unit * (np.exp2((key >> 55) / 2.0) - 1) / most).astype(np.uint64)
+            part = np.where(parts > 1, 1 + mixed(doc.view(np.uint64)) % np.maximum(parts, 1), 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays(list(map(pa.array, (key, doc, np.concatenate(sizes), np.concatenate(places), part))), names=["key", "doc", "n", "at", "part"])
 
         for doc_id, s in _sets(batches):
             n = len(s)
@@ -139,39 +147,41 @@ def _prefixes(docs: DataFrame, ranks: bytes) -> DataFrame:
         if held:
             yield rows()
 
-    return in_workers(docs, "near duplicates", run, "key long, doc long, n int, at int")
+    return in_workers(docs, "near duplicates", run, "key long, doc long, n int, at int, part int")
+
 
+MEMBERS = "key long, doc long, n int, at int, lead long, lead_n int, lead_at int, more boolean"
 
-def _members(prefixes: DataFrame) -> DataFrame:
-    """(key, doc, n, at, lead, lead_n, lead_at, more): each document of a shingle but the one that has it foremost, with that one;
-    more is false for one that is surely the only other."""
-    dealt = prefixes.repartition("key").sortWithinPartitions("key", "at", "n", "doc")
+
+def _members(dealt: DataFrame) -> DataFrame:
+    """(key, doc, n, at, lead, lead_n, lead_at, more): each document of a part of a shingle's documents with the one of them that has it foremost;
+    more is false for one that is surely the only other of a shingle. Leaders of numbered parts come out with themselves, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, n, at = (c.to_numpy() for c in batch.columns)
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            new[0] = carried is None or carried[0] != key[0]
+            key, doc, n, at, part = (c.to_numpy() for c in batch.columns)
+            same, many = (key[1:] == key[:-1]) & (part[1:] == part[:-1]), part > 0
+            new = np.concatenate([[carried is None or carried[3] != key[0] or carried[4] != part[0]], ~same])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            rest = np.flatnonzero(~new)
+            rest = np.flatnonzero(~new | many)
             own = lead[rest]
             found = [x[own] for x in (doc, n, at)]
             if carried is not None:
-                for x, old in zip(found, carried[1:], strict=True):
+                for x, old in zip(found, carried, strict=False):
                     x[own < 0] = old
-            if lead[-1] >= 0:
-                carried = (key[-1], doc[lead[-1]], n[lead[-1]], at[lead[-1]])
-            keep = found[0] != doc[rest]
+            keep = (found[0] != doc[rest]) | new[rest]
             if keep.any():
-                follows = np.concatenate([key[1:] == key[:-1], [True]])  # the next batch may go on
-                more = (own < 0) | (rest - own > 1) | follows[rest]
+                follows = np.concatenate([same, [True]])  # the next batch may go on
+                more = (own < 0) | (rest - own > 1) | follows[rest] | many[rest]
                 columns = [x[rest][keep] for x in (key, doc, n, at)] + [x[keep] for x in found] + [more[keep]]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "doc", "n", "at", "lead", "lead_n", "lead_at", "more"])
+            if lead[-1] >= 0:
+                carried = (doc[lead[-1]], n[lead[-1]], at[lead[-1]], key[-1], part[-1])
 
-    return in_workers(dealt, "near duplicates", run, "key long, doc long, n int, at int, lead long, lead_n int, lead_at int, more boolean")
+    return in_workers(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "at", "n", "doc"), "near duplicates", run, MEMBERS)
 
 
 def _can_link(n, at, m, to):
@@ -186,15 +196,19 @@ def _pairs(a, b):
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Only texts that occur in a pair, by a filter of fixed size, are hashed again and shuffled."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BITS))
-    maps = ends.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # BITS / 8 bytes at most
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    bits = min(MOST_BITS, 1 << max(20, (16 * ends.count()).bit_length()))
+
+    def place(doc: str):
+        return F.pmod(F.xxhash64(doc), F.lit(bits))
+
+    maps = ends.groupBy(F.bitmap_bucket_number(place("doc")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc"))).alias("bits")).collect()  # bits / 8 bytes at most
     size = 32768 // 8
-    flags = bytearray(BITS // 8 + 2 * size)
+    flags = bytearray(bits // 8 + 2 * size)
     for row in maps:
         flags[row["k"] * size : (row["k"] + 1) * size] = bytes(row["bits"])
     small = zlib.compress(bytes(flags), 6)
-    marked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(F.pmod(F.xxhash64("doc_id"), F.lit(BITS))).alias("k"), F.bitmap_bit_position(F.pmod(F.xxhash64("doc_id"), F.lit(BITS))).alias("p"))
+    marked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.bitmap_bucket_number(place("doc_id")).alias("k"), F.bitmap_bit_position(place("doc_id")).alias("p"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = np.frombuffer(zlib.decompress(small), np.uint8)
@@ -205,8 +219,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 found = [s.tobytes() for s in shingle_sets([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "s"])
 
+    # sets are dealt by document once, then go with a pair; at any size, so never as a broadcast
     known = in_workers(marked, "near duplicates", sets, "doc long, s binary")
-    first, second = (known.select(F.col("doc").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    first, second = (known.select(F.col("doc").alias(x), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +305,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = summary.filter("piece IS NULL").select("doc_id", "n", "s1", "s2")
     equal = sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).filter("one <> other")
     same = sizes.join(equal.select("n", "s1", "s2", "one"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("one").alias("b")).filter("a <> b")
-    members = stored(_members(_prefixes(docs, _ranks(summary))))
-    led = stored(members.filter(_can_link(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"))).select(*_pairs("doc", "lead")).distinct())
+    ranks, unit = _ranks(summary)
+    members = stored(_members(_prefixes(docs, ranks, unit)))
+    # leaders of a shingle's parts meet once more
+    leaders = _members(members.filter("doc = lead").select("key", "doc", "n", "at", F.lit(0).alias("part")))
+    met = members.filter("doc <> lead").unionByName(leaders.filter("doc <> lead"))
+    led = stored(met.filter(_can_link(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"))).select(*_pairs("doc", "lead")).distinct())
     links = stored(same.union(_verified(docs, led)))
     roots = stored(components(links))
     # documents of a shingle, its leader apart, that are not in one component yet
@@ -305,15 +324,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group stays. Of rows that share an id one stays; rows of null id stay."""
-    found = stored(near_duplicates(df, id_col, text_col))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_gone"))
-    if repeated.isEmpty():
-        return kept
-    one = kept.join(repeated, kept[id_col] == F.col("_gone"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == F.col("_gone"), "left_anti").unionByName(one)
+    """One row of each component, the one of least id; rows without words all stay. Columns, of any name, as they are.
+
+    Where ids are null or occur twice, rows are numbered by id (null last) and text's hash, and each
+    goes by its own text."""
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[id_col].cast("long").alias("i"), df[text_col].cast("string").alias("t"))
+    if not rows.groupBy("i").count().filter("count > 1 OR i IS NULL").isEmpty():
+        rows = stored(rows.withColumn("at", F.monotonically_increasing_id()))
+        rows = stored(numbered(rows, F.col("i").asc_nulls_last(), F.xxhash64("t"), F.col("at")).drop("i", "at").withColumnRenamed("place", "i"))
+    gone = near_duplicates(rows, "i", "t").filter("doc_id <> component_id").select("doc_id")
+    return rows.join(gone, F.col("i") == F.col("doc_id"), "left_anti").select("row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@ import random
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+#: Names that operators use themselves.
+OWN = "size key row shard n word spans score a b root copies _gone _taken_id _copies _copy _score place part rank t i h id gone turn side total rows first of hash kept more item copy".split()
 SCHEMA = StructType(
     [StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())]
-    + [StructField(n, StringType()) for n in ("size", "key", "row", "shard", "n", "word", "spans", "score", "a", "b", "root", "copies")]
+    + [StructField(n, StringType()) for n in OWN]
 )
 
 
 def frame(spark, rows):
     """Documents of (doc_id, text[, source]), with further columns whose names operators use themselves."""
-    full = [(d, t, "en", (s or ["src0"])[0], None if t is None else len(t)) + ("x",) * 12 for d, t, *s in rows]
+    full = [(d, t, "en", (s or ["src0"])[0], None if t is None else len(t)) + ("x",) * len(OWN) for d, t, *s in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
