@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quillgrid.operators import algebra, verify
+from quillgrid.plans import runs
 from quillgrid.sources import coo, generators
 
 
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
         two.add_argument("b")
         two.add_argument("out")
         two.add_argument("--double", action="store_true")
+        two.add_argument("--report", help="folder for the run's record as JSON: sizes, shapes, densities, phases")
     same = commands.add_parser("verify", help="compare two coordinate files")
     same.add_argument("a")
     same.add_argument("b")
@@ -60,6 +62,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         coo.write_coo(made, args.out)
     elif args.command == "sort":
         coo.sort_file(spark, args.path, args.out, args.by_columns)
+    elif args.command in ("add", "multiply") and args.report:
+        coo.write_report(runs.run(spark, args.command, args.a, args.b, args.out, double=args.double), args.report)
     elif args.command in ("add", "multiply"):
         a, b = (coo.read_coo(spark, p, double=args.double) for p in (args.a, args.b))
         coo.write_coo(algebra.add(a, b) if args.command == "add" else algebra.multiply(a, b), args.out)

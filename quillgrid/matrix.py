@@ -32,8 +32,22 @@ class SparseMatrix:
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, rows, cols, values, shape: tuple[int, int] | None = None, double: bool = False) -> SparseMatrix:
-        """A matrix of three equally long arrays."""
-        return cls.from_entries(spark, zip(rows, cols, values, strict=True), shape, double)
+        """A matrix of three equally long arrays, taken over as Arrow columns."""
+        import numpy as np
+        import pyarrow as pa
+
+        i, j, v = np.asarray(rows, np.int64), np.asarray(cols, np.int64), np.asarray(values)
+        if not i.shape == j.shape == v.shape or i.ndim != 1:
+            raise ValueError("arrays of different lengths")
+        return cls(spark.createDataFrame(pa.table({"i": i, "j": j, "v": v.astype(np.float64 if double else np.int64)})), shape)
+
+    @classmethod
+    def from_csr(cls, spark: SparkSession, row_ptr, col_idx, values, shape: tuple[int, int] | None = None, double: bool = False) -> SparseMatrix:
+        """A matrix of compressed-row arrays: pointers, columns, values."""
+        import numpy as np
+
+        ptr = np.asarray(row_ptr, np.int64)
+        return cls.from_arrays(spark, np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), col_idx, values, shape, double)
 
     def with_shape(self) -> SparseMatrix:
         """The matrix with a shape: if it has none, largest indices plus one (empty last rows and columns are lost)."""
@@ -74,9 +88,27 @@ class SparseMatrix:
         )
         return found.withColumn("density_pct", density).withColumn("sparsity_pct", 100 - density)
 
-    def collect(self) -> list[tuple]:
-        """All entries in row order, for small matrices."""
-        return [tuple(r) for r in self.df.select("i", "j", "v").orderBy("i", "j").collect()]
+    def _small(self, limit: int) -> DataFrame:
+        if self.df.limit(limit + 1).count() > limit:
+            raise ValueError(f"more than {limit} entries; write them out, or raise the limit")
+        return self.df.select("i", "j", "v")
+
+    def collect(self, limit: int = 1_000_000) -> list[tuple]:
+        """All entries in row order, for small matrices; an error beyond a limit."""
+        return [tuple(r) for r in self._small(limit).orderBy("i", "j").collect()]
+
+    def to_arrays(self, limit: int = 10_000_000) -> tuple:
+        """NumPy arrays (rows, columns, values) in row order; an error beyond a limit."""
+        found = self._small(limit).orderBy("i", "j").toArrow()
+        return tuple(found[c].to_numpy() for c in ("i", "j", "v"))
+
+    def to_csr(self, limit: int = 10_000_000) -> tuple:
+        """NumPy arrays (row_ptr, col_idx, values), duplicates merged; an error beyond a limit."""
+        import numpy as np
+
+        a = self.merged().with_shape()
+        rows, cols, values = a.to_arrays(limit)
+        return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=a.shape[0]))]).astype(np.int64), cols, values
 
 
 def require_equal(a: SparseMatrix, b: SparseMatrix) -> tuple[int, int] | None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillgrid.matrix import SparseMatrix, require_equal, require_inner
+from quillgrid.operators import features as packed
 
 
 def transpose(a: SparseMatrix) -> SparseMatrix:
@@ -38,7 +40,7 @@ def multiply(a: SparseMatrix, b: SparseMatrix, threshold: float | None = None, d
     multiply products. The join is on the inner index (adaptive execution splits hot ones), the grouped sum
     combines products before its shuffle.
 
-    blocks (rows of a block, number of partitions): the output is dealt by blocks of rows; the result is the same."""
+    blocks (rows of a block, number of parts): blocks of rows are summed apart; the result is the same."""
     shape = require_inner(a, b)
     left, right = a.merged(), b.merged()
     if double:
@@ -47,8 +49,9 @@ def multiply(a: SparseMatrix, b: SparseMatrix, threshold: float | None = None, d
     y = right.df.select(F.col("i").alias("k"), F.col("j").alias("j"), F.col("v").alias("y"))
     products = x.join(y, "k").select("i", "j", (F.col("x") * F.col("y")).alias("v"))
     if blocks:
+        # the block is part of the sum's own key: one shuffle, combined before it
         size, n = blocks
-        products = products.groupBy("i", "j").agg(F.sum("v").alias("v")).withColumn("block", F.floor(F.col("i") / size)).repartition(n, "block").drop("block")
+        products = products.groupBy(F.pmod(F.floor(F.col("i") / size), F.lit(n)).alias("block"), "i", "j").agg(F.sum("v").alias("v")).drop("block")
     return SparseMatrix(products, shape, bool(blocks)).nonzero(threshold)
 
 
@@ -68,10 +71,11 @@ def spmv(a: SparseMatrix, x: DataFrame) -> DataFrame:
     return joined.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
-def spmm(a: SparseMatrix, features: DataFrame) -> DataFrame:
-    """a times a dense matrix in long form (node, d, x): (i, d, y) of the rows that have entries."""
-    joined = a.merged().df.join(features.select(F.col("node").alias("j"), "d", "x"), "j")
-    return joined.groupBy("i", "d").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+def spmm(a: SparseMatrix, features: DataFrame, dims: int | None = None) -> DataFrame:
+    """a times a dense matrix in packed form (node, x array): (i, y array) of the rows that have entries."""
+    dims = packed.dims_of(features) if dims is None else dims
+    joined = a.merged().df.join(features.select(F.col("node").alias("j"), "x"), "j")
+    return packed.summed(joined, "i", "x", F.col("v"), dims, "y")
 
 
 def product_counts(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
@@ -89,10 +93,39 @@ def densify(a: SparseMatrix) -> DataFrame:
     return cells.join(a.df, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+#: Rows and columns of a dense block: 8 B^2 bytes.
+BLOCK = 256
+
+
+def _blocks(a: SparseMatrix, row: str, col: str) -> DataFrame:
+    """(row, col, e): the entries of each block that has any, with their place in it."""
+    place = (F.col("i") % BLOCK * BLOCK + F.col("j") % BLOCK).cast("int")
+    return a.df.groupBy(F.floor(F.col("i") / BLOCK).alias(row), F.floor(F.col("j") / BLOCK).alias(col)).agg(F.collect_list(F.struct(place.alias("at"), "v")).alias("e"))
+
+
 def dense_multiply(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
-    """The product of two densified matrices: every cell, zeros included."""
-    shape = require_inner(a.with_shape(), b.with_shape())
-    x = densify(a).select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    y = densify(b).select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    assert shape is not None
-    return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    """The product of two matrices as dense ones: every cell, zeros included. Blocks of BLOCK^2 cells meet on the inner index, one
+    dense product for each pair of blocks; the sum over pairs is a grouped one."""
+    a, b = a.merged().with_shape(), b.merged().with_shape()
+    shape, kind = require_inner(a, b), a.df.schema["v"].dataType
+    pairs = _blocks(a, "r", "k").withColumnRenamed("e", "x").join(_blocks(b, "k", "c").withColumnRenamed("e", "y"), "k").select("r", "c", "x", "y")
+
+    def product(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def dense(entries):
+            v = entries.field("v").to_numpy(zero_copy_only=False)
+            block = np.zeros(BLOCK * BLOCK, v.dtype)
+            block[entries.field("at").to_numpy()] = v
+            return block.reshape(BLOCK, BLOCK)
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                r, c = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                out = dense(batch.column(2)[n].values) @ dense(batch.column(3)[n].values)
+                i, j = np.nonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(i + r * BLOCK, pa.int64()), pa.array(j + c * BLOCK, pa.int64()), pa.array(out[i, j])], names=["i", "j", "v"])
+
+    products = pairs.mapInArrow(product, StructType([StructField("i", LongType()), StructField("j", LongType()), StructField("v", kind)]))
+    return densify(SparseMatrix(products, shape))

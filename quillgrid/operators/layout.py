@@ -11,8 +11,12 @@ from quillgrid.matrix import SparseMatrix
 RANGE = 4096
 
 
+#: Columns of a row (or rows of a column) that stand in one array, at most.
+CHUNK = 1 << 16
+
+
 def csr_rows(a: SparseMatrix) -> DataFrame:
-    """(i, col_idx, values) of the rows that have entries, columns ascending."""
+    """(i, col_idx, values) of the rows that have entries, columns ascending: an array a row, so for rows that fit one; csr_chunks has no such bound."""
     return _compressed(a, "i", "j", "col_idx")
 
 
@@ -21,9 +25,20 @@ def csc_cols(a: SparseMatrix) -> DataFrame:
     return _compressed(a, "j", "i", "row_idx")
 
 
-def _compressed(a: SparseMatrix, by: str, other: str, name: str) -> DataFrame:
-    packed = a.merged().df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(other, "v"))).alias("e"))
-    return packed.select(by, F.col(f"e.{other}").alias(name), F.col("e.v").alias("values"))
+def csr_chunks(a: SparseMatrix, size: int = CHUNK) -> DataFrame:
+    """(i, chunk, col_idx, values): a row's entries by ranges of so many columns; a hub row is many arrays, dealt over the cluster."""
+    return _compressed(a, "i", "j", "col_idx", size)
+
+
+def csc_chunks(a: SparseMatrix, size: int = CHUNK) -> DataFrame:
+    """(j, chunk, row_idx, values): the same by columns."""
+    return _compressed(a, "j", "i", "row_idx", size)
+
+
+def _compressed(a: SparseMatrix, by: str, other: str, name: str, size: int | None = None) -> DataFrame:
+    keys = [F.col(by)] if size is None else [F.col(by), F.floor(F.col(other) / size).alias("chunk")]
+    packed = a.merged().df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(other, "v"))).alias("e"))
+    return packed.select(by, *([] if size is None else ["chunk"]), F.col(f"e.{other}").alias(name), F.col("e.v").alias("values"))
 
 
 def from_csr(rows: DataFrame, shape: tuple[int, int] | None = None) -> SparseMatrix:
@@ -64,14 +79,19 @@ def _pointers(a: SparseMatrix, by: str, n: int) -> DataFrame:
 
 
 def entry_positions(a: SparseMatrix) -> DataFrame:
-    """(i, j, v, k): the place of each entry in its row, from 0."""
-    return a.merged().df.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1)
+    """(i, j, v, k): the place of each entry in its row, from 0. Two levels: within ranges of columns, and over a row's ranges, so that a hub row
+    is dealt over the cluster."""
+    rows = a.merged().df.withColumn("range", F.floor(F.col("j") / CHUNK))
+    before = Window.partitionBy("i").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("i", "range").agg(F.count("*").alias("n")).select("i", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("i", "range").orderBy("j")) - 1
+    return rows.withColumn("k", within).join(first, ["i", "range"]).select("i", "j", "v", (F.col("k") + F.col("first")).cast("int").alias("k"))
 
 
 def _checked(a: SparseMatrix, axis: int, low: int, high: int) -> None:
-    size = a.with_shape().shape[axis]
-    if not (0 <= low < high <= size):
-        raise IndexError(f"{low} to {high} isn't within 0 to {size}")
+    """An error for indices that can't be; a size that isn't known is not looked up: nothing lies beyond it."""
+    if not 0 <= low < high or (a.shape is not None and high > a.shape[axis]):
+        raise IndexError(f"{low} to {high} isn't within 0 to {a.shape[axis] if a.shape else 'the size'}")
 
 
 def get_row(a: SparseMatrix, i: int) -> DataFrame:

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions.scalars import grouped_digits
 from quillgrid.matrix import SparseMatrix
-from quillgrid.operators import algebra, graph, layout, verify
-from quillgrid.plans import reports, strategy
+from quillgrid.operators import algebra, features, graph, layout, verify
+from quillgrid.plans import reports, runs, strategy
 from quillgrid.registry import query
 from quillgrid.sources import coo, generators
+from quillgrid.sources.workspace import workspace
 from quillgrid.streaming import edges as streaming
 
 
@@ -49,9 +51,17 @@ def g_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"))
 
 
+#: Components of the embeddings.
+DIMS = 64
+
+
 def x_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.posexplode("embedding").alias("d", "x"))
-    return rows.select("node", F.col("d").cast("long").alias("d"), (F.col("x").cast("double") * 1000).cast("long").alias("x"))
+    whole = F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("long"))
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), whole.alias("x"))
+
+
+def long_h(aggregated: DataFrame) -> DataFrame:
+    return features.unpacked(aggregated, "src", "h")
 
 
 def layer(spark: SparkSession, dims: int = 64, out: int = 8) -> DataFrame:
@@ -188,6 +198,11 @@ def csc_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.csc_cols(a_ps(spark, sf_dir)).select("j", layout.joined_text(F.col("row_idx")).alias("row_idx"), layout.joined_text(F.col("values")).alias("values"))
 
 
+@query("csr_chunks", _with(A, "SELECT i, j // 16 AS chunk, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS col_idx, string_agg(CAST(v AS VARCHAR), ',' ORDER BY j) AS \"values\" FROM a GROUP BY 1, 2"))
+def csr_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.csr_chunks(a_ps(spark, sf_dir), 16).select("i", "chunk", layout.joined_text(F.col("col_idx")).alias("col_idx"), layout.joined_text(F.col("values")).alias("values"))
+
+
 @query("csr_get_row", _with(A, "SELECT j, v FROM a WHERE i = 7"))
 def csr_get_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.get_row(a_ps(spark, sf_dir, shaped=True), 7)
@@ -268,18 +283,18 @@ def graph_no_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gcn_aggregate", _with(G, X, H, "SELECT src, d, h FROM h"))
 def gcn_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aggregate(g_edges(spark, sf_dir), x_feat(spark, sf_dir))
+    return long_h(graph.aggregate(g_edges(spark, sf_dir), x_feat(spark, sf_dir), DIMS))
 
 
 @query("gcn_aggregate_all_nodes", _with(G, X, H, "n AS (SELECT s.range AS src, d.range AS d FROM range(0, (SELECT max(greatest(src, dst)) + 1 FROM g)) s, range(0, 64) d) SELECT n.src, n.d, coalesce(h, 0) AS h FROM n LEFT JOIN h ON n.src = h.src AND n.d = h.d"))
 def gcn_aggregate_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = g_edges(spark, sf_dir)
-    return graph.aggregate_all(edges, x_feat(spark, sf_dir), graph.node_count(edges), 64)
+    return long_h(graph.aggregate_all(edges, x_feat(spark, sf_dir), graph.node_count(edges), DIMS))
 
 
 @query("gcn_forward", _with(G, X, H, W, "SELECT src, e, CAST(SUM(h * w) AS BIGINT) AS y FROM h JOIN w ON h.d = w.d GROUP BY 1, 2"))
 def gcn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.forward(g_edges(spark, sf_dir), x_feat(spark, sf_dir), layer(spark))
+    return features.unpacked(graph.forward(g_edges(spark, sf_dir), x_feat(spark, sf_dir), layer(spark), DIMS), "src", "y", "e")
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -291,26 +306,49 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("gcn_update_full", _with(G, X, H, "SELECT src, d, h FROM h"))
 def gcn_update_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _split(spark, sf_dir)
-    return graph.update_full(old, new, x_feat(spark, sf_dir))
+    return long_h(graph.update_full(old, new, x_feat(spark, sf_dir), DIMS))
+
+
+#: States that earlier calls have left, by application and folder: an update begins from what is carried.
+_STATES: dict[tuple[str, str], graph.AggregateState] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> graph.AggregateState:
+    """The stored aggregate before the update; worked out the first time that a session asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        old = _split(spark, sf_dir)[0]
+        _STATES[key] = graph.AggregateState(spark, workspace(spark, "state"), buckets=8).start(graph.aggregate(old, x_feat(spark, sf_dir), DIMS))
+    return _STATES[key]
 
 
 @query("gcn_update_incremental", _with(G, X, H, "SELECT src, d, h FROM h"))
 def gcn_update_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carried aggregate and what new edges add to it; the old edges are not read."""
+    delta = graph.update_delta(_split(spark, sf_dir)[1], x_feat(spark, sf_dir), DIMS)
+    return long_h(graph.update_incremental(_state(spark, sf_dir).load(), delta))
+
+
+@query("gcn_update_stored", _with(G, X, H, "SELECT src, d, h FROM h"))
+def gcn_update_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state itself after two updates, each of which writes only the buckets that it touches."""
     old, new = _split(spark, sf_dir)
-    features = x_feat(spark, sf_dir)
-    return graph.update_incremental(graph.aggregate(old, features), graph.update_delta(new, features))
+    state = graph.AggregateState(spark, workspace(spark, "state"), buckets=8).start(graph.aggregate(old, x_feat(spark, sf_dir), DIMS))
+    for odd in (0, 1):
+        state.update(new.filter(F.col("dst") % 2 == odd), x_feat(spark, sf_dir), DIMS)
+    return long_h(state.load())
 
 
 @query("gcn_update_delta", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM g JOIN x ON g.dst = x.node WHERE event_type = 'purchase' GROUP BY 1, 2"))
 def gcn_update_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.update_delta(_split(spark, sf_dir)[1], x_feat(spark, sf_dir))
+    return long_h(graph.update_delta(_split(spark, sf_dir)[1], x_feat(spark, sf_dir), DIMS))
 
 
 @query("gcn_update_removal", _with(G, X, "SELECT src, d, CAST(SUM(x) AS BIGINT) AS h FROM (SELECT src, d, x FROM g JOIN x ON g.dst = x.node UNION ALL SELECT src, d, -x FROM g JOIN x ON g.dst = x.node WHERE event_type = 'purchase') GROUP BY 1, 2"))
 def gcn_update_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = x_feat(spark, sf_dir)
     gone = _split(spark, sf_dir)[1].groupBy("src", "dst").agg((-F.count("*")).alias("w"))
-    return graph.update_incremental(graph.aggregate(g_edges(spark, sf_dir), features), graph.weighted_aggregate(gone, features))
+    x = x_feat(spark, sf_dir)
+    return long_h(graph.update_incremental(graph.aggregate(g_edges(spark, sf_dir), x, DIMS), graph.weighted_aggregate(gone, x, DIMS)))
 
 
 @query("new_edges_antijoin", _with(G, "SELECT DISTINCT src, dst FROM g n WHERE event_type = 'purchase' AND src <> dst AND NOT EXISTS (SELECT 1 FROM g o WHERE o.event_type <> 'purchase' AND o.src = n.src AND o.dst = n.dst)"))
@@ -324,7 +362,7 @@ def new_edges_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("spmm", _with(G, X, E, "SELECT i, d, CAST(SUM(v * x) AS BIGINT) AS y FROM e JOIN x ON e.j = x.node GROUP BY 1, 2"))
 def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return algebra.spmm(graph.edge_weights(g_edges(spark, sf_dir)), x_feat(spark, sf_dir))
+    return features.unpacked(algebra.spmm(graph.edge_weights(g_edges(spark, sf_dir)), x_feat(spark, sf_dir), DIMS), "i", "y")
 
 
 @query("spmv", _with(A, "SELECT i, CAST(SUM(v * (j % 5 + 1)) AS BIGINT) AS y FROM a GROUP BY i"))
@@ -381,6 +419,86 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coo.parse_lines(bad).filter("NOT ok").agg(F.count("*").alias("rejected"))
 
 
+# -- files -----------------------------------------------------------------------------------------
+
+
+@query("csv_roundtrip", _with(A, "SELECT i, j, v FROM a"))
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as lines counted from 1, and read again."""
+    path = workspace(spark, "coo")
+    coo.write_coo(a_ps(spark, sf_dir).merged(), path)
+    return coo.read_coo(spark, path).df
+
+
+@query("csr_file_roundtrip", _with(A, "SELECT i, j, v FROM a"))
+def csr_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "csr")
+    coo.save_csr(a_ps(spark, sf_dir), path)
+    return coo.load_csr(spark, path).df
+
+
+@query("csc_file_roundtrip", _with(A, "SELECT i, j, v FROM a"))
+def csc_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "csc")
+    coo.save_csc(a_ps(spark, sf_dir), path)
+    return coo.load_csc(spark, path).df.select("i", "j", "v")
+
+
+@query("sort_file", _with(A, "SELECT i, j, v, CAST(row_number() OVER (ORDER BY j, i) - 1 AS BIGINT) AS line FROM a"))
+def sort_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file sorted by columns; line: where an entry stands in it."""
+    path = workspace(spark, "sort")
+    coo.write_coo(a_ps(spark, sf_dir).merged(), f"{path}/in", base=0)
+    coo.sort_file(spark, f"{path}/in", f"{path}/out", by_columns=True)
+    lines = spark.read.text(f"{path}/out").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a file
+    parts = lines.groupBy("file", "at").agg(F.count("*").alias("rows")).withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("file", "at").orderBy("n")) - 1
+    numbered = lines.withColumn("k", within).join(parts, ["file", "at"])
+    return coo.parse_lines(numbered, base=0, keep=("k", "first")).select("i", "j", "v", (F.col("k") + F.col("first")).alias("line"))
+
+
+@query("count_lines", "SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "lines")
+    coo.write_coo(a_ps(spark, sf_dir).merged(), path)
+    return coo.read_lines(spark, path).agg(F.count("*").alias("n"))
+
+
+def _files(spark: SparkSession, *matrices: SparseMatrix) -> list[str]:
+    path = workspace(spark, "run")
+    for n, matrix in enumerate(matrices):
+        coo.write_coo(matrix.merged(), f"{path}/{n}")
+    return [f"{path}/{n}" for n in range(len(matrices) + 1)]
+
+
+@query("run_add", _with(A, B, SUM, "SELECT 'add' AS operation, (SELECT count(*) FROM a) AS nnz_a, (SELECT count(*) FROM b) AS nnz_b, (SELECT count(*) FROM s) AS nnz_c, (SELECT max(i) + 1 FROM s) AS rows_c, (SELECT max(j) + 1 FROM s) AS cols_c, (SELECT count(*) FROM a) + (SELECT count(*) FROM b) - (SELECT count(*) FROM s) AS flops"))
+def run_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a sum from file to file, without its times."""
+    record = runs.run(spark, "add", *_files(spark, a_ps(spark, sf_dir), b_ps(spark, sf_dir)))
+    return record.select("operation", "nnz_a", "nnz_b", "nnz_c", "rows_c", "cols_c", "flops")
+
+
+@query("run_multiply", _with(M, A, P, "t AS (SELECT CAST(2 * SUM(x.n * y.n) AS BIGINT) AS flops FROM (SELECT j AS k, count(*) AS n FROM m GROUP BY 1) x JOIN (SELECT i AS k, count(*) AS n FROM a GROUP BY 1) y ON x.k = y.k) SELECT 'multiply' AS operation, (SELECT count(*) FROM m) AS nnz_a, (SELECT count(*) FROM a) AS nnz_b, (SELECT count(*) FROM p WHERE v <> 0) AS nnz_c, (SELECT max(i) + 1 FROM m) AS rows_c, (SELECT max(j) + 1 FROM a) AS cols_c, flops FROM t"))
+def run_multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = runs.run(spark, "multiply", *_files(spark, m_op(spark, sf_dir), a_ps(spark, sf_dir)))
+    return record.select("operation", "nnz_a", "nnz_b", "nnz_c", "rows_c", "cols_c", "flops")
+
+
+@query("edge_file_dense", "SELECT p.range AS i, s.range AS j, coalesce(CAST(abs(trunc(s_acctbal)) AS BIGINT), 0) AS v FROM range(0, 25) p CROSS JOIN range(0, 25) s LEFT JOIN supplier t ON t.s_nationkey = p.range AND t.s_suppkey = s.range")
+def edge_file_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines src,dst,weight counted from 1, read as a dense matrix."""
+    rows = _read(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 1).alias("s"), (F.col("s_suppkey") + 1).alias("d"), F.abs(F.col("s_acctbal").cast("long")).alias("w"))
+    path = workspace(spark, "edges")
+    rows.write.csv(path)
+    return coo.read_dense(spark, path, 25)
+
+
+@query("report_numbers", "SELECT l_returnflag AS flag, format('{:,}', count(*)) AS entries FROM lineitem GROUP BY 1")
+def report_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(grouped_digits(F.count("*")).alias("entries"))
+
+
 @query("verify_max_abs_diff", _with(A, B, "SELECT max(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) AS max_abs_diff FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j"))
 def verify_max_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.max_abs_diff(a_ps(spark, sf_dir), b_ps(spark, sf_dir))
@@ -434,10 +552,14 @@ def gen_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").cast("int").alias("entries"), F.min(inside).alias("inside"))
 
 
-@query("gen_unique", "SELECT CAST(50000 AS BIGINT) AS entries, CAST(50000 AS BIGINT) AS places")
+@query("gen_unique", "SELECT CAST(50000 AS BIGINT) AS entries, CAST(50000 AS BIGINT) AS places, true AS even, true AS seeded")
 def gen_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generators.uniform_matrix(spark, 1000, 1000, 50_000, unique=True).df
-    return rows.agg(F.count("*").alias("entries"), F.countDistinct("i", "j").alias("places"))
+    """Distinct places, even over a grid of 100 fields (chi square), others for another seed (2,500 in common are expected)."""
+    one, two = (generators.uniform_matrix(spark, 1000, 1000, 50_000, seed, unique=True).df for seed in (1, 2))
+    fields = one.groupBy(F.floor(F.col("i") / 100).alias("a"), F.floor(F.col("j") / 100).alias("b")).count()
+    even = fields.agg((F.sum(F.pow(F.col("count") - 500, F.lit(2)) / 500) < 160).alias("even"))
+    common = one.join(two, ["i", "j"], "left_semi").agg(F.count("*").between(2200, 2800).alias("seeded"))
+    return one.agg(F.count("*").alias("entries"), F.countDistinct("i", "j").alias("places")).crossJoin(even).crossJoin(common)  # a row each
 
 
 @query("gen_block", "SELECT CAST(10000 AS BIGINT) AS entries, true AS inside")
@@ -446,10 +568,14 @@ def gen_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("entries"), F.min(F.floor(F.col("i") / 100) == F.floor(F.col("j") / 100)).alias("inside"))
 
 
-@query("gen_power_law", "SELECT true AS distinct_columns, true AS all_rows")
+@query("gen_power_law", "SELECT true AS distinct_columns, true AS all_rows, true AS even, true AS heavy")
 def gen_power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct columns in every row, even over the columns, and a few rows that hold many entries."""
     rows = generators.power_law(spark, 2000, 1500, 20_000).df
-    return rows.agg((F.count("*") == F.countDistinct("i", "j")).alias("distinct_columns"), (F.countDistinct("i") == 2000).alias("all_rows"))
+    fields = rows.groupBy(F.floor(F.col("j") / 15).alias("f")).count()
+    even = fields.agg((F.max("count") < 1.5 * F.avg("count")).alias("even"))
+    heavy = rows.groupBy("i").count().agg((F.max("count") > 8 * F.avg("count")).alias("heavy"))
+    return rows.agg((F.count("*") == F.countDistinct("i", "j")).alias("distinct_columns"), (F.countDistinct("i") == 2000).alias("all_rows")).crossJoin(even).crossJoin(heavy)  # a row each
 
 
 @query("gen_graph_fast", "SELECT CAST(0 AS BIGINT) AS loops, true AS enough")
@@ -473,25 +599,18 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "ts", F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("long").alias("dst"))
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    from uuid import uuid4
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/quillgrid"
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 @query("stream_gcn_aggregate", _with(G, X, H, "SELECT src, d, h FROM h"))
 def stream_gcn_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streaming.maintained_aggregate(_stream(spark, sf_dir), x_feat(spark, sf_dir))
-    return streaming.drain(rows, "stream_gcn_aggregate", _checkpoint(spark, "gcn"))
+    rows = streaming.maintained_aggregate(_stream(spark, sf_dir), x_feat(spark, sf_dir), DIMS)
+    return long_h(streaming.drain(rows, workspace(spark, "stream")))
 
 
 @query("stream_edge_counts", _with(G, "SELECT src, count(*) AS edges FROM g GROUP BY src"))
 def stream_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.drain(streaming.maintained_counts(_stream(spark, sf_dir)), "stream_edge_counts", _checkpoint(spark, "counts"))
+    return streaming.drain(streaming.maintained_counts(_stream(spark, sf_dir)), workspace(spark, "stream"))
 
 
 @query("stream_windowed_counts", _with(G, "SELECT time_bucket(INTERVAL '1 day', ts) AS begin, src, count(*) AS edges FROM g GROUP BY 1, 2"))
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streaming.windowed_counts(_stream(spark, sf_dir), "ts", "1 day")
-    return streaming.drain(rows, "stream_windowed_counts", _checkpoint(spark, "windows")).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+    return streaming.drain(rows, workspace(spark, "stream")).withColumn("begin", F.col("begin").cast("timestamp_ntz"))

@@ -46,6 +46,9 @@ def phase_shares(phases: DataFrame) -> DataFrame:
     return phases.crossJoin(total).select("phase", "seconds", (F.col("seconds") / F.col("total") * 100).alias("pct"))  # by one row
 
 
-def as_text(records: DataFrame, title: str) -> str:
-    """A small report as lines of text."""
-    return "\n".join([title, *(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in records.collect())])
+def as_text(records: DataFrame, title: str, limit: int = 1000) -> str:
+    """A small report as lines of text; an error for more than `limit` records."""
+    rows = records.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} records")
+    return "\n".join([title, *(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows)])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions.scalars import number, truncated, whole_index
 from quillgrid.matrix import SparseMatrix
-from quillgrid.operators.layout import csc_cols, csr_rows, from_csc, from_csr
+from quillgrid.operators.algebra import densify
+from quillgrid.operators.layout import csc_chunks, csr_chunks, from_csc, from_csr
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,16 +20,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(path) from e
 
 
-def parse_lines(lines: DataFrame, base: int = 1, double: bool = False) -> DataFrame:
-    """(i, j, v, ok) for each line: ok has exactly three fields by commas, two integers and a number. Values are cut toward
+def parse_lines(lines: DataFrame, base: int = 1, double: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, v, ok), and columns to keep, for each line: ok has exactly three fields by commas, two integers and a number. Values are cut toward
     zero unless double; indices are shifted to begin at 0."""
     parts = F.split("value", ",")
     value = number(F.get(parts, F.lit(2)))
     fields = lines.select(
-        (whole_index(F.get(parts, F.lit(0))) - base).alias("i"), (whole_index(F.get(parts, F.lit(1))) - base).alias("j"), (value if double else truncated(value)).alias("v"), F.size(parts).alias("n")
+        (whole_index(F.get(parts, F.lit(0))) - base).alias("i"), (whole_index(F.get(parts, F.lit(1))) - base).alias("j"), (value if double else truncated(value)).alias("v"), F.size(parts).alias("n"), *keep
     )
     ok = (F.col("n") == 3) & F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("v").isNotNull()
-    return fields.select("i", "j", "v", ok.alias("ok"))
+    return fields.select("i", "j", "v", ok.alias("ok"), *keep)
 
 
 def read_coo(spark: SparkSession, path: str, shape: tuple[int, int] | None = None, base: int = 1, double: bool = False) -> SparseMatrix:
@@ -49,17 +50,40 @@ def count_lines(spark: SparkSession, path: str, blank: bool = True) -> int:
     return (lines if blank else lines.filter(F.trim("value") != "")).count()
 
 
-def read_edges(spark: SparkSession, path: str, base: int = 0, weighted: bool = False, nodes: int | None = None) -> DataFrame:
-    """(src, dst[, weight]) of an edge list; a malformed line is an error. With a number of nodes, edges beyond it are left out."""
-    schema = "src long, dst long" + ", weight long" * weighted
+def read_table(spark: SparkSession, path: str, base: int = 1, double: bool = False, names: tuple[str, str, str] = ("row", "col", "value")) -> SparseMatrix:
+    """A matrix from a file whose first line names its columns, in any order and with further ones; lines that don't fit are left out."""
     try:
-        edges = spark.read.schema(schema).option("mode", "FAILFAST").csv(path)
+        rows = spark.read.option("header", True).csv(path)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
+    if missing := [n for n in names if n not in rows.columns]:
+        raise ValueError(f"{path} has no column {missing[0]}")
+    i, j, v = (F.col(f"`{n}`") for n in names)
+    parsed = rows.select((whole_index(i) - base).alias("i"), (whole_index(j) - base).alias("j"), (number(v) if double else truncated(number(v))).alias("v"))
+    return SparseMatrix(parsed.dropna())
+
+
+def read_edges(spark: SparkSession, path: str, base: int = 0, weighted: bool = False, nodes: int | None = None) -> DataFrame:
+    """(src, dst[, weight]) of an edge list whose lines have so many columns or more; a malformed line is an error, a blank one isn't a line. With a
+    number of nodes, edges beyond it are left out."""
+    names = ("src", "dst", "weight")[: 3 if weighted else 2]
+    parts = F.split("value", ",")
+
+    def field(k: int, name: str):
+        found = whole_index(F.get(parts, F.lit(k)))
+        return F.coalesce(found, F.raise_error(F.concat(F.lit(f"no {name} in line: "), F.col("value"))).cast("bigint")).alias(name)
+
+    edges = read_lines(spark, path).filter(F.trim("value") != "").select(*(field(k, n) for k, n in enumerate(names)))
     edges = edges.withColumn("src", F.col("src") - base).withColumn("dst", F.col("dst") - base)
     return edges if nodes is None else edges.filter(F.col("src").between(0, nodes - 1) & F.col("dst").between(0, nodes - 1))
 
 
+def read_dense(spark: SparkSession, path: str, nodes: int, base: int = 1) -> DataFrame:
+    """(i, j, v) of every cell of a graph's matrix, from lines src,dst,weight counted from 1: weights of parallel edges summed, 0 elsewhere."""
+    edges = read_edges(spark, path, base, weighted=True, nodes=nodes)
+    return densify(SparseMatrix(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v")), (nodes, nodes)))
+
+
 def write_coo(a: SparseMatrix, path: str, base: int = 1, ordered: bool = False) -> None:
     """Lines `row,col,value` without a header, in order of rows if asked."""
     rows = a.df.select((F.col("i") + base).alias("i"), (F.col("j") + base).alias("j"), "v")
@@ -73,8 +97,8 @@ def sort_file(spark: SparkSession, path: str, out: str, by_columns: bool = False
 
 
 def save_csr(a: SparseMatrix, path: str) -> None:
-    """Compressed rows as Parquet; sorted by row, so that a row's lookup reads few row groups."""
-    csr_rows(a).repartitionByRange("i").sortWithinPartitions("i").write.mode("overwrite").parquet(path)
+    """Compressed rows as Parquet, long ones in chunks; sorted by row, so that a row's lookup reads few row groups."""
+    csr_chunks(a).repartitionByRange("i", "chunk").sortWithinPartitions("i", "chunk").write.mode("overwrite").parquet(path)
 
 
 def load_csr(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> SparseMatrix:
@@ -82,8 +106,8 @@ def load_csr(spark: SparkSession, path: str, shape: tuple[int, int] | None = Non
 
 
 def save_csc(a: SparseMatrix, path: str) -> None:
-    """Compressed columns as Parquet, sorted by column."""
-    csc_cols(a).repartitionByRange("j").sortWithinPartitions("j").write.mode("overwrite").parquet(path)
+    """Compressed columns as Parquet, long ones in chunks, sorted by column."""
+    csc_chunks(a).repartitionByRange("j", "chunk").sortWithinPartitions("j", "chunk").write.mode("overwrite").parquet(path)
 
 
 def load_csc(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> SparseMatrix:

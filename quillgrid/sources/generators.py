@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.scalars import below, normal, uniform
+from quillgrid.functions.scalars import below, normal, permuted, uniform
 from quillgrid.matrix import SparseMatrix
 
 #: Bytes of an entry in memory and as text (fixed values of the estimate).
@@ -24,30 +24,16 @@ def check_safety(nnz: int, max_mb: float = 500.0) -> None:
 
 
 def uniform_matrix(spark: SparkSession, rows: int, cols: int, nnz: int, seed: int = 42, unique: bool = False) -> SparseMatrix:
-    """nnz entries at uniform places with values from -100 to 99. unique: no place twice (the places of least hashes among
-    draws of which few repeat); an error if there aren't so many places."""
+    """nnz entries at uniform places with values from -100 to 99. unique: no place twice (the first of a keyed permutation of all
+    places, so nothing is drawn in vain, sorted or gathered); an error if there aren't so many places."""
     value = (below(200, seed, F.lit("v"), F.col("id")) - 100).alias("v")
     if not unique:
         draws = spark.range(nnz).select(below(rows, seed, F.lit("i"), F.col("id")).alias("i"), below(cols, seed, F.lit("j"), F.col("id")).alias("j"), value)
         return SparseMatrix(draws, (rows, cols))
     if nnz > rows * cols:
         raise ValueError(f"{nnz} distinct places don't fit into {rows} x {cols}")
-    if nnz * 2 > rows * cols:  # dense: each cell may be taken
-        cells = spark.range(rows * cols)
-    else:  # sparse: a stride that is prime to the number of cells visits distinct ones
-        cells = spark.range(nnz).select(((F.col("id").cast("decimal(38,0)") * _coprime(rows * cols, seed)) % (rows * cols)).cast("bigint").alias("id"))
-    taken = cells.orderBy(uniform(seed, F.lit("p"), F.col("id")), "id").limit(nnz)
-    return SparseMatrix(taken.select(F.floor(F.col("id") / cols).alias("i"), (F.col("id") % cols).alias("j"), value), (rows, cols), True)
-
-
-def _coprime(n: int, seed: int) -> int:
-    """A number without a common divisor with n, near n times the golden section."""
-    from math import gcd
-
-    k = max(1, int(n * 0.6180339887498949) + seed % 97)
-    while gcd(k, n) != 1:
-        k += 1
-    return k
+    taken = spark.range(nnz).select("id", permuted(F.col("id"), max(1, rows * cols), seed).alias("place"))
+    return SparseMatrix(taken.select(F.floor(F.col("place") / cols).alias("i"), (F.col("place") % cols).alias("j"), value), (rows, cols), True)
 
 
 def banded(spark: SparkSession, size: int, bandwidth: int, seed: int = 42) -> SparseMatrix:
@@ -74,16 +60,19 @@ def power_law(spark: SparkSession, rows: int, cols: int, nnz: int, alpha: float
     degrees = spark.range(rows).select(F.col("id").alias("i"), degree.alias("d"))
     total = degrees.agg(F.sum("d")).first()[0] or 1
     scaled = degrees.select("i", F.least(F.greatest(F.floor(F.col("d") * nnz / total), F.lit(1)), F.lit(cols)).cast("int").alias("n"))
-    # a row's columns: steps of a stride prime to their number, from a start of its own
-    start, stride = below(cols, seed, F.lit("s"), F.col("i")), _coprime(cols, seed)
-    cells = scaled.select("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).withColumn("j", (start + F.col("k").cast("long") * stride) % cols)
+    # a row's columns: the first of its own permutation of all columns
+    cells = scaled.select("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).withColumn("j", permuted(F.col("k"), cols, seed, F.col("i")))
     return SparseMatrix(cells.select("i", "j", normal(seed, F.col("i"), F.col("j")).alias("v")), (rows, cols), True)
 
 
+#: Preset sizes: name, rows and columns, entries (fixed values).
+PRESETS = (("small", 100, 500), ("medium", 1_000, 10_000), ("large", 10_000, 100_000), ("xlarge", 50_000, 1_000_000))
+
+
 def presets(spark: SparkSession, seed: int = 42) -> dict[str, SparseMatrix]:
     """Named matrices of growing sizes; the two of a size differ in seed."""
     found = {}
-    for name, size, nnz in (("small", 100, 500), ("medium", 1_000, 10_000), ("large", 10_000, 100_000), ("xlarge", 50_000, 1_000_000)):
+    for name, size, nnz in PRESETS:
         for k, side in enumerate("ab"):
             found[f"{name}_{side}"] = uniform_matrix(spark, size, size, nnz, seed + k)
     found["banded"] = banded(spark, 1000, 5, seed)
@@ -114,9 +103,15 @@ def sparse_matrix(spark: SparkSession, size: int, sparsity: float, seed: int = 4
 
 
 def features(spark: SparkSession, nodes: int, dims: int = 128, seed: int = 42) -> DataFrame:
-    """(node, d, x): standard normal features."""
-    long = spark.range(nodes).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))).alias("d"))
-    return long.withColumn("x", normal(seed, F.col("node"), F.col("d")))
+    """(node, x array): standard normal features in packed form."""
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda d: normal(seed, F.col("id"), d))
+    return spark.range(nodes).select(F.col("id").alias("node"), each.alias("x"))
+
+
+def dense_matrix(spark: SparkSession, rows: int, cols: int, seed: int = 42) -> SparseMatrix:
+    """Every cell, standard normal."""
+    cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("i"), (F.col("id") % cols).alias("j"))
+    return SparseMatrix(cells.withColumn("v", normal(seed, F.col("i"), F.col("j"))), (rows, cols), True)
 
 
 def normalised(degrees: DataFrame) -> DataFrame:

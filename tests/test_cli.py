@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quillgrid import cli
 from quillgrid.matrix import SparseMatrix
-from quillgrid.plans import reports
+from quillgrid.operators import graph
+from quillgrid.plans import reports, runs
 from quillgrid.sources import coo
 from quillgrid.streaming import edges as streaming
 
@@ -52,5 +53,37 @@ def test_stream_drops_repeats(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 0, 2)], "event_id long, src long, dst long").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     rows.coalesce(1).write.parquet(f"{tmp_path}/e")
     stream = streaming.once_each(streaming.edge_stream(spark, f"{tmp_path}/e", rows.schema), "ts")
-    got = streaming.drain(stream.select("event_id", "src", "dst"), "once", f"{tmp_path}/c", mode="append")
+    got = streaming.drain(stream.select("event_id", "src", "dst"), f"{tmp_path}/c", mode="append")
     assert sorted(r.event_id for r in got.collect()) == [1, 2]
+
+
+def test_stream_of_several_batches(spark, tmp_path):
+    """A table maintained over batches is that of all edges."""
+    rows = spark.range(90).select((F.col("id") % 7).alias("src"), (F.col("id") % 3).alias("dst"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/e")
+    x = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [5, 6])], "node long, x array<long>")
+    stream = streaming.edge_stream(spark, f"{tmp_path}/e", rows.schema)
+    got = streaming.drain(streaming.maintained_aggregate(stream, x, 2), f"{tmp_path}/s")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.aggregate(rows, x, 2).collect()))
+
+
+def test_runs(spark, tmp_path):
+    a = SparseMatrix.from_entries(spark, [(0, 0, 1), (0, 2, 2), (1, 1, 3)])
+    b = SparseMatrix.from_entries(spark, [(0, 0, 4), (1, 1, 5), (2, 0, 6)])
+    coo.write_coo(a, f"{tmp_path}/a")
+    coo.write_coo(b, f"{tmp_path}/b")
+    assert run(spark, "multiply", f"{tmp_path}/a", f"{tmp_path}/b", f"{tmp_path}/c", "--report", f"{tmp_path}/r") == 0
+    r = coo.read_report(spark, f"{tmp_path}/r", lines=True).first()
+    assert (r.rows_a, r.cols_a, r.rows_b, r.cols_b, r.rows_c, r.cols_c, r.nnz_a, r.nnz_b, r.nnz_c, r.flops) == (2, 3, 3, 2, 2, 2, 3, 3, 2, 6)
+    assert r.density_a_pct == 50.0 and r.total_s >= r.compute_s > 0 and len(r["at"]) == 19
+    record = runs.run(spark, "add", f"{tmp_path}/a", f"{tmp_path}/b", f"{tmp_path}/d")
+    assert record.first().nnz_c == 4 and abs(sum(p.pct for p in runs.phases(record).collect()) - 100) < 1e-6
+
+
+def test_harnesses(spark, tmp_path):
+    edges = spark.range(300).select((F.col("id") * 7 % 50).alias("src"), (F.col("id") * 11 % 40).alias("dst"))
+    x = spark.range(50).select(F.col("id").alias("node"), F.array(F.col("id"), F.col("id") + 1).alias("x"))
+    found = runs.full_or_incremental(spark, edges, x, 2, f"{tmp_path}/h", added=(1, 3)).collect()
+    assert [(r.edges_added, r.agree) for r in found] == [(1, True), (3, True)] and all(r.winner in ("full", "incremental") for r in found)
+    one = runs.parallel_or_serial(spark, lambda: edges.groupBy("src").count(), runs=1).first()
+    assert one.speedup > 0 and one.winner in ("parallel", "serial")

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgrid.functions.scalars import permuted
 from quillgrid.matrix import ShapeError, SparseMatrix
-from quillgrid.operators import algebra, graph, layout, verify
+from quillgrid.operators import algebra, features, graph, layout, verify
 from quillgrid.plans import strategy
 from quillgrid.sources import coo, generators
 
@@ -123,21 +124,95 @@ def test_files(spark, tmp_path):
     assert graph.node_count(edges) == 3 and coo.read_edges(spark, f"{tmp_path}/g.csv", nodes=2).count() == 2
 
 
+def test_edge_files(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("1,2,5\n1,2,1\n\n3,1,4\n9,1,7\n")
+    assert sorted(map(tuple, coo.read_edges(spark, f"{tmp_path}/w.csv", base=1).collect())) == [(0, 1), (0, 1), (2, 0), (8, 0)]
+    cells = {(r.i, r.j): r.v for r in coo.read_dense(spark, f"{tmp_path}/w.csv", 3).collect()}
+    assert len(cells) == 9 and {k: v for k, v in cells.items() if v} == {(0, 1): 6, (2, 0): 4}
+    (tmp_path / "bad.csv").write_text("1,2\n1\n")
+    with pytest.raises(Exception, match="no dst in line: 1"):
+        coo.read_edges(spark, f"{tmp_path}/bad.csv").collect()
+    (tmp_path / "h.csv").write_text("note,value,col,row\na,2.9,1,1\nb,x,1,1\nc,-1.7,1,2\n")
+    assert coo.read_table(spark, f"{tmp_path}/h.csv").collect() == [(0, 0, 2), (1, 0, -1)]
+    with pytest.raises(ValueError):
+        coo.read_table(spark, f"{tmp_path}/h.csv", names=("row", "col", "weight"))
+
+
+def test_arrays(spark):
+    a = randomly(spark, 9, 7, 30, 11)
+    i, j, v = a.merged().to_arrays()
+    assert SparseMatrix.from_arrays(spark, i, j, v, (9, 7)).collect() == a.merged().collect()
+    ptr, cols, values = a.to_csr()
+    assert len(ptr) == 10 and ptr[-1] == a.nnz()
+    assert SparseMatrix.from_csr(spark, ptr, cols, values, (9, 7)).collect() == a.merged().collect()
+    with pytest.raises(ValueError):
+        a.collect(limit=3)
+    with pytest.raises(ValueError):
+        SparseMatrix.from_arrays(spark, [1], [1, 2], [1])
+
+
+def test_chunks(spark):
+    a = randomly(spark, 6, 300, 400, 12)
+    chunks = layout.csr_chunks(a, 50)
+    assert max(len(r.col_idx) for r in chunks.collect()) <= 50 and chunks.filter("i = 0").count() > 1
+    assert layout.from_csr(chunks).collect() == layout.from_csc(layout.csc_chunks(a, 2)).collect() == a.merged().collect()
+
+
+def test_dense_blocks(spark, monkeypatch):
+    a, b = randomly(spark, 40, 30, 300, 13), randomly(spark, 30, 50, 300, 14)
+    dense = {(r.i, r.j): r.v for r in algebra.dense_multiply(a, b).collect()}
+    assert len(dense) == 2000
+    assert {k: v for k, v in dense.items() if v} == {(i, j): v for i, j, v in algebra.multiply(a, b).collect()}
+    assert algebra.dense_multiply(m(spark, [], (2, 3)), m(spark, [], (3, 2))).count() == 4
+    far = m(spark, [(600, 300, 2)], (601, 301)), m(spark, [(300, 500, 3)], (301, 501))
+    assert algebra.dense_multiply(*far).filter("v <> 0").collect() == [(600, 500, 6)]
+
+
+def long_h(rows):
+    return sorted(map(tuple, features.unpacked(rows, "src", "h").collect()))
+
+
 def test_graph_by_hand(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (2, 0)], "src long, dst long")
-    features = spark.createDataFrame([(0, 0, 1), (1, 0, 10)], "node long, d long, x long")
-    got = {r.src: r.h for r in graph.aggregate_all(edges, features, 3, 1).collect()}
-    assert got == {0: 20, 1: 0, 2: 1}
+    x = spark.createDataFrame([(0, [1]), (1, [10])], "node long, x array<long>")
+    assert long_h(graph.aggregate_all(edges, x, 3, 1)) == [(0, 0, 20), (1, 0, 0), (2, 0, 1)]
     new = spark.createDataFrame([(1, 0)], "src long, dst long")
-    full = {r.src: r.h for r in graph.update_full(edges, new, features).collect()}
-    step = graph.update_incremental(graph.aggregate(edges, features), graph.update_delta(new, features))
-    assert {r.src: r.h for r in step.collect()} == full == {0: 20, 1: 1, 2: 1}
+    step = graph.update_incremental(graph.aggregate(edges, x), graph.update_delta(new, x))
+    assert long_h(step) == long_h(graph.update_full(edges, new, x)) == [(0, 0, 20), (1, 0, 1), (2, 0, 1)]
     weights = spark.createDataFrame([(0, 0, 2), (0, 1, 3)], "d long, e long, w long")
-    assert sorted(map(tuple, graph.forward(edges, features, weights).collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
+    assert sorted(map(tuple, features.unpacked(graph.forward(edges, x, weights), "src", "y", "e").collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
     some = graph.sample_new_edges(edges, 50, 3)
     assert some.count() == 3 and some.filter("src = dst").count() == 0
 
 
+def test_packed_features(spark, monkeypatch):
+    long = spark.createDataFrame([(0, 0, 1.5), (0, 2, 2.0), (1, 1, -1.0)], "node long, d long, x double")
+    rows = features.packed(long)
+    assert sorted(map(tuple, rows.collect())) == [(0, [1.5, None, 2.0]), (1, [None, -1.0, None])]
+    assert sorted(map(tuple, features.unpacked(rows, "node", "x").collect())) == sorted(map(tuple, long.collect()))
+    weighed = spark.createDataFrame([(7, 0, 2), (7, 1, 3), (8, 0, 1)], "src long, dst long, w long")
+    columns = long_h(graph.weighted_aggregate(weighed, rows))
+    monkeypatch.setattr(features, "COLUMNS", 1)  # arrays too long for columns are summed by place
+    assert long_h(graph.weighted_aggregate(weighed, rows)) == columns == [(7, 0, 3.0), (7, 1, -3.0), (7, 2, 4.0), (8, 0, 1.5), (8, 2, 2.0)]
+
+
+def test_aggregate_state(spark, tmp_path):
+    """A carried aggregate equals the one worked out anew, and an update writes only the buckets that it touches."""
+    edges = generators.weighted_graph(spark, 60, 4).select("src", "dst")
+    x = spark.range(60).select(F.col("id").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.col("id") * 7 + d).alias("x"))
+    state = graph.AggregateState(spark, f"{tmp_path}/s", buckets=16).start(graph.aggregate(edges, x, 5))
+    new = spark.createDataFrame([(3, 5), (3, 5), (70, 1)], "src long, dst long")
+    state.update(new, x, 5)
+    assert long_h(state.load()) == long_h(graph.update_full(edges, new, x, 5))
+    versions = list(state.versions().values())
+    assert 1 <= versions.count(1) <= 2 and versions.count(0) >= 13
+    state.update(new.limit(2).withColumn("w", F.lit(-1)), x, 5)
+    assert long_h(graph.AggregateState(spark, f"{tmp_path}/s", buckets=16).load().filter("src = 3")) == long_h(graph.aggregate(edges.filter("src = 3"), x, 5))
+    (tmp_path / "s" / "rows" / "v=3").mkdir()  # of an update that broke off
+    state.update(new.limit(1), x, 5)
+    assert max(state.versions().values()) == 3
+
+
 def test_generators(spark):
     assert generators.banded(spark, 10, 1).df.count() == 28
     with pytest.raises(ValueError):
@@ -151,7 +226,24 @@ def test_generators(spark):
     assert once == again
     long = generators.power_law(spark, 100, 80, 1000).df
     assert long.count() == long.select("i", "j").distinct().count()
-    assert abs(generators.features(spark, 200, 16).agg(F.avg("x")).first()[0]) < 0.1
+    assert abs(features.unpacked(generators.features(spark, 200, 16), "node", "x").agg(F.avg("x")).first()[0]) < 0.1
+    assert generators.dense_matrix(spark, 4, 5).nnz() == 20
+
+
+def test_permutation(spark):
+    """Every number once, for odd sizes; keys give different orders, and places are even."""
+    for n in (1, 2, 3, 7, 100, 101, 997):
+        got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), n, 5)).collect()]
+        assert sorted(got) == list(range(n))
+    one, two = ({(r.i, r.j) for r in generators.uniform_matrix(spark, 300, 200, 2000, seed, unique=True).df.collect()} for seed in (1, 2))
+    assert len(one) == len(two) == 2000 and len(one & two) < 140  # 67 expected
+    cells = [sum((i // 30, j // 20) == (a, b) for i, j in one) for a in range(10) for b in range(10)]
+    assert sum((c - 20) ** 2 / 20 for c in cells) < 160  # chi square of 99 degrees
+    gaps = sorted(i * 200 + j for i, j in one)
+    assert len({q - p for p, q in zip(gaps, gaps[1:], strict=False)}) > 60
+    columns = generators.power_law(spark, 400, 50, 8000, seed=3).df.groupBy("j").count().collect()
+    n = sum(r["count"] for r in columns)
+    assert len(columns) == 50 and sum((r["count"] - n / 50) ** 2 / (n / 50) for r in columns) < 100
 
 
 def test_strategy(spark):
