@@ -84,41 +84,129 @@ def _strings(found: set[str]) -> Query:
     return True if any(q is True for q in each) else each[0] if len(each) == 1 else ("or", *each)
 
 
-def _parse(pattern: str):
-    return re._parser.parse(pattern)
-
-
-#: Strings that a part is spelled out to; beyond, a part isn't exact.
-SPELL = 64
+#: Strings that a part is spelled out to, and characters of a class; beyond, a part isn't exact.
+SPELL, CLASS = 64, 8
+#: Escapes that match nothing but a place.
+_PLACES = "bBAZ"
+
+
+class _Parser:
+    """Reads the part of regular expressions that rules use into nodes: a set of characters (None: any), ("seq", nodes), ("alt", nodes),
+    ("repeat", least, most, node). What it doesn't know it takes for anything, which a query allows for."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def _next(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def _peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def choice(self):
+        branches = [[]]
+        while (c := self._peek()) and c != ")":
+            if c == "|":
+                self.at += 1
+                branches.append([])
+            else:
+                branches[-1].append(self._quantified(self._item()))
+        each = [("seq", b) for b in branches]
+        return each[0] if len(each) == 1 else ("alt", each)
+
+    def _item(self):
+        c = self._next()
+        if c == "(":
+            return self._group()
+        if c == "[":
+            return self._set()
+        if c == "\\":
+            return self._escape()
+        if c in "^$":
+            return ("seq", [])
+        return None if c == "." else {c.lower()}
+
+    def _group(self):
+        known = True
+        if self._peek() == "?":
+            if self.text.startswith("?:", self.at):
+                self.at += 2
+            elif name := re.compile(r"\?P<\w+>").match(self.text, self.at):
+                self.at = name.end()
+            else:  # looks around, flags, references
+                known = False
+                self.at = re.compile(r"\?[^)]*?[:=!>)]|\?").match(self.text, self.at).end()
+        inner = self.choice()
+        self.at += 1
+        return inner if known else None
+
+    def _escape(self):
+        c = self._next()
+        if c == "x":
+            self.at += 2
+            return {chr(int(self.text[self.at - 2 : self.at], 16)).lower()}
+        if c in _PLACES:
+            return ("seq", [])
+        return None if c.isalnum() else {c}
+
+    def _set(self):
+        found, known = set(), True
+        if self._peek() == "^":
+            known = False
+            self.at += 1
+        first = True
+        while first or self._peek() != "]":
+            c, first = self._next(), False
+            own = self._escape() if c == "\\" else {c.lower()}
+            if not isinstance(own, set):
+                known = False
+            elif self._peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.at += 1
+                d = self._next()
+                high = min(self._escape() or {"\uffff"}) if d == "\\" else d
+                low = min(own) if c == "\\" else c
+                found |= {chr(k).lower() for k in range(ord(low), min(ord(high), ord(low) + SPELL) + 1)}
+                known &= ord(high) - ord(low) < SPELL
+            else:
+                found |= own
+        self.at += 1
+        return found if known and len(found) <= CLASS else None
+
+    def _quantified(self, node):
+        while m := re.compile(r"([*+?]|\{(\d*)(,?)(\d*)\})").match(self.text, self.at):
+            self.at = m.end()
+            if self._peek() and self._peek() in "?+":  # lazy or possessive
+                self.at += 1
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(m[1], (0, None))
+            if m[1][0] == "{":
+                low = int(m[2] or 0)
+                high = (int(m[4]) if m[4] else None) if m[3] else low
+            node = ("repeat", low, high, node)
+        return node
 
 
 def _analyse(nodes) -> tuple[set[str] | None, Query]:
     """(the strings a sequence can be, if they are few; what any match contains)."""
-    c = re._constants
     run, query, exact = {""}, True, True
-    for op, arg in nodes:
-        own: set[str] | None
+    for node in nodes:
+        own: set[str] | None = node if isinstance(node, set) else None
         inner: Query = True
-        if op is c.LITERAL:
-            own = {chr(arg).lower()}
-        elif op is c.IN:
-            own = _class(arg)
-        elif op is c.SUBPATTERN:
-            own, inner = _analyse(arg[3])
-        elif op is c.BRANCH:
-            parts = [_analyse(x) for x in arg[1]]
+        kind = node[0] if isinstance(node, tuple) else None
+        if kind == "seq":
+            own, inner = _analyse(node[1])
+        elif kind == "alt":
+            parts = [_analyse([x]) for x in node[1]]
             own = None if any(s is None for s, _ in parts) else set().union(*(s for s, _ in parts))
             queries = [q for _, q in parts]
             inner = True if any(q is True for q in queries) else ("or", *queries)
-        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
-            low, high, body = arg
-            got, inner = _analyse(body)
+        elif kind == "repeat":
+            low, high, body = node[1:]
+            got, inner = _analyse([body])
             own = got | {""} if got is not None and (low, high) == (0, 1) else got if (low, high) == (1, 1) else None
             inner = inner if low else True
             if own is None and got is not None and low:
                 inner = _strings(got)
-        else:
-            own = None
         if own is not None and len(joined := {a + b for a, b in product(run, own)}) <= SPELL:
             run = joined
             continue
@@ -126,21 +214,9 @@ def _analyse(nodes) -> tuple[set[str] | None, Query]:
     return (run, _strings(run)) if exact else (None, _both(query, _strings(run)))
 
 
-def _class(items) -> set[str] | None:
-    c, found = re._constants, set()
-    for op, arg in items:
-        if op is c.LITERAL:
-            found.add(chr(arg).lower())
-        elif op is c.RANGE and arg[1] - arg[0] < SPELL:
-            found |= {chr(k).lower() for k in range(arg[0], arg[1] + 1)}
-        else:
-            return None
-    return found if len(found) <= 8 else None
-
-
 def trigram_query(pattern: str) -> Query:
     """What any match of a pattern contains, in folded trigrams; True: nothing is mandatory."""
-    return _analyse(_parse(pattern))[1]
+    return _analyse([_Parser(pattern).choice()])[1]
 
 
 def _terms(q: Query) -> set[str]:
