@@ -1,6 +1,6 @@
 """Operator 6: token counts with a whole-token shortcut.
 
-Offline, each string of the vocabulary that ends a word is encoded alone; those
+Offline, once for a vocabulary, each string of it that ends a word is encoded alone; those
 that give one token are proven "whole". A text's pre-tokens that are whole count
 one each without any merging; only the rest are merged. What a blank-separated
 piece costs is kept in a bounded memory of the worker.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,11 @@ LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-
 class Counter:
     """Counts tokens as the library's own encode does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole_tokens(self.tokenizer)
+        self.whole = proven(path) if whole is None else whole
         self.split = re.compile(LATIN).findall
         self.odd = re.compile(r"[^\x00-\xff]|<\|").search  # beyond Latin-1, or perhaps a special token: left to the library
         self.seen: dict[str, int] = {}
@@ -73,10 +74,12 @@ class Counter:
         return [sum(map(seen.__getitem__, words)) for words in split]
 
 
-def whole_tokens(tokenizer) -> frozenset[str]:
-    """The proof, made once: strings of the vocabulary, without their word end, that encode alone as one token."""
-    end, decode = "</w>", byte_letters()
-    strings = []
+@lru_cache(maxsize=4)
+def proven(path: str) -> frozenset[str]:
+    """The proof, made once, before any text is read: strings of the vocabulary, without their word end, that encode alone as one token."""
+    from tokenizers import Tokenizer
+
+    tokenizer, end, decode, strings = Tokenizer.from_file(path), "</w>", byte_letters(), []
     for k in tokenizer.get_vocab(with_added_tokens=False):
         if k.endswith(end) and k != end:
             try:
@@ -87,15 +90,14 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, found, strict=True) if len(e) == 1)
 
 
-def _counter(path: str) -> Counter:
-    return worker_state(("token counts", path), lambda: Counter(path))
-
-
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: UTF-8 bytes, tokens, and whether the tokens exceed the limit. No shuffle."""
+    """One row per row: UTF-8 bytes, tokens, and whether the tokens exceed the limit. No shuffle.
+
+    The proof is made here, once; its strings, some of the vocabulary's, go to the workers with the code."""
+    whole = proven(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
+        counter = worker_state(("token counts", path), lambda: Counter(path, whole))
         for batch in batches:
             for part in slices(batch, 1, 256):
                 texts = [t or "" for t in part.column(1).to_pylist()]
