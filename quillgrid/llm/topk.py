@@ -13,7 +13,7 @@ is bounded by the blocks' sizes, whatever the number of rows.
 Results: vectors null, or holding null or non-finite components, take no part, nor do rows of null
 id. Vectors of another length than a query's share no score with it. Ties go to the smaller
 vec_id. Rows repeating an id are candidates each, and never their own query's; a repeated query
-comes out once, as the row of the least vector. An empty table gives an empty table; other columns are ignored.
+comes out once, as the row of the least vector. Scores are 64-bit whole numbers and wrap beyond them. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_workers, stored, table
+from .common import in_workers, stored, table, worker_state
 
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 8192, 512
@@ -33,6 +33,7 @@ SHARD, BLOCK = 8192, 512
 PROBE = 8
 #: Vectors that drop out are set aside once only this share is left.
 FEW = 0.5
+KINDS = (np.int8, np.int16, np.int32, np.int64)
 PACKED = "width int, part int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -46,23 +47,34 @@ def scaled(df: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: s
 
 
 def _packed(rows: DataFrame, part: int, total: int) -> DataFrame:
-    """Blocks of about `part` vectors of one length, as bytes."""
+    """Blocks of about `part` vectors of one length, as bytes: whole numbers of the least width that holds a block's.
+
+    The row's place is part of the hash, so that rows alike, however many, lie in many blocks."""
     parts = max(1, -(-total // part))
 
     def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("top k",), dict)
         t = pa.Table.from_batches(list(batches))
         ids = t["vec_id"].to_numpy().astype(np.int64)
         width, number = (k.as_py() for k in key)
         vectors = t["v"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(ids), width)
         by = np.lexsort((*vectors.T[::-1], ids))
+        low, high = vectors.min(initial=0), vectors.max(initial=0)
+        vectors = vectors.astype(next(k for k in KINDS if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
         yield pa.RecordBatch.from_arrays(
             [pa.array([width], pa.int32()), pa.array([number], pa.int32()), pa.array([ids[by].tobytes()]), pa.array([vectors[by].tobytes()])], names=["width", "part", "ids", "vectors"]
         )
 
-    keyed = rows.withColumn("width", F.size("v")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    keyed = rows.withColumn("width", F.size("v")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
     return keyed.groupBy("width", "part").applyInArrow(pack, PACKED)
 
 
+def _vectors(raw: bytes, n: int, width: int) -> np.ndarray:
+    """A block's vectors, a row each."""
+    kind = np.dtype(f"i{len(raw) // (n * width)}") if width else np.dtype("i8")
+    return np.frombuffer(raw, kind).reshape(n, width).astype(np.int64)
+
+
 def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a shard for each query: (queries, vec_ids, scores). x: a shard's postings, a row a dimension."""
     if x.shape[0] == 0:
@@ -128,9 +140,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_co
                 width, raw_ids, raw, asked_ids, asked_raw = (batch.column(n)[row].as_py() for n in range(5))
                 if raw_ids != last:
                     last, ids = raw_ids, np.frombuffer(raw_ids, np.int64)
-                    x = np.ascontiguousarray(np.frombuffer(raw, np.int64).reshape(len(ids), width).T)
+                    x = np.ascontiguousarray(_vectors(raw, len(ids), width).T)
                 asked_by = np.frombuffer(asked_ids, np.int64)
-                found = _search(ids, x, asked_by, np.frombuffer(asked_raw, np.int64).reshape(len(asked_by), width), k)
+                found = _search(ids, x, asked_by, _vectors(asked_raw, len(asked_by), width), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     pairs = shards.join(dealt, ["width", "part"]).select("width", "ids", "vectors", "query_ids", "queries")
