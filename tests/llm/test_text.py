@@ -149,6 +149,36 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("abc?d") == ("or", ("and", "abc", "bcd"), "abd")
 
 
+def test_trigram_queries_admit_matches():
+    """What an expression matches, its query admits: over generated expressions and texts."""
+    r = random.Random(6)
+
+    def made(depth):
+        k = r.randrange(7 if depth else 3)
+        if k < 2:
+            return "".join(r.choices("abC", k=r.randint(1, 4)))
+        if k == 2:
+            return r.choice(["[ab]", "[^a]", ".", r"\x61", "[a-c]", r"\.", r"\w", "[0-9a-f]"])
+        if k == 3:
+            return f"({made(depth - 1)}|{made(depth - 1)})"
+        if k == 4:
+            return f"(?:{made(depth - 1)}){r.choice(['*', '+', '?', '{2}', '{1,3}', '{2,}', '+?'])}"
+        return made(depth - 1) + made(depth - 1)
+
+    seen = 0
+    for _ in range(1500):
+        pattern = made(3)
+        query = secret_scan.trigram_query(pattern)
+        wanted = np.zeros(1 << 24, bool)
+        wanted[[secret_scan._code(t) for t in secret_scan._terms(query)]] = True
+        texts_ = ["".join(r.choices("abcC.1", k=r.randint(0, 14))) for _ in range(12)]
+        admitted = set(secret_scan.Index(texts_, wanted).find(query).tolist())
+        hits = {k for k, t in enumerate(texts_) if re.search(pattern, t)}
+        assert hits <= admitted, pattern
+        seen += len(hits) if query is not True else 0
+    assert seen > 40
+
+
 def test_masking(spark, odd):
     got = secret_scan.redact_secrets(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
