@@ -537,6 +537,52 @@ def bench_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.wins(bench_winner_join(spark, sf_dir))
 
 
+@query("bench_summary", "SELECT l_returnflag AS name, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, CAST(max(l_linenumber) AS DOUBLE) / avg(l_quantity) AS rows_per_second FROM lineitem GROUP BY 1")
+def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as if they were the times of runs."""
+    return reports.summary(_read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("seconds"), F.col("l_linenumber").alias("rows")))
+
+
+@query("bench_phase_shares", "SELECT l_returnflag AS phase, sum(l_quantity) AS seconds, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem) * 100 AS pct FROM lineitem GROUP BY 1")
+def bench_phase_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.phase_shares(_read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("phase")).agg(F.sum("l_quantity").alias("seconds")))
+
+
+@query("report_roundtrip", f"WITH {BENCH} SELECT CAST(l_suppkey AS BIGINT) AS l_suppkey, first_s, second_s FROM t JOIN u USING (l_suppkey)")
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON and read again."""
+    path = workspace(spark, "report")
+    coo.write_report(bench_winner_join(spark, sf_dir), path)
+    return coo.read_report(spark, path, lines=True).select("l_suppkey", "first_s", "second_s")
+
+
+@query("verify_equal", "SELECT true AS itself, false AS other")
+def verify_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = a_ps(spark, sf_dir), b_ps(spark, sf_dir)
+    return spark.createDataFrame([(verify.equal(a, algebra.transpose(algebra.transpose(a))), verify.equal(a, b))], "itself boolean, other boolean")
+
+
+@query("update_harness", "SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS edges_added, true AS agree, true AS timed")
+def update_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full against incremental updates by one to three new edges: whether both give the same aggregate."""
+    records = runs.full_or_incremental(spark, g_edges(spark, sf_dir).select("src", "dst"), x_feat(spark, sf_dir), DIMS, workspace(spark, "updates"))
+    return records.select("edges_added", "agree", ((F.col("full_recomputation_s") > 0) & (F.col("speedup") > 0) & F.col("winner").isin("full", "incremental")).alias("timed"))
+
+
+@query("graph_degree_shares", _with(G, "d AS (SELECT src AS i, count(*) AS d FROM g GROUP BY 1) SELECT i, CAST(d AS DOUBLE) / (SELECT sum(d) FROM d) AS share FROM d"))
+def graph_degree_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.normalised(g_edges(spark, sf_dir).groupBy(F.col("src").alias("i")).agg(F.count("*").alias("d")))
+
+
+@query("graph_sampled_edges", "SELECT CAST(20 AS BIGINT) AS n, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS known")
+def graph_sampled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty new edges: none is a loop, none is there already."""
+    edges = g_edges(spark, sf_dir)
+    new = graph.sample_new_edges(edges, 2000, 20)
+    known = new.join(edges, ["src", "dst"], "left_semi").agg(F.count("*").alias("known"))
+    return new.agg(F.count("*").alias("n"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).crossJoin(known)  # a row each
+
+
 # -- generators -------------------------------------------------------------------------------------
 
 
@@ -590,6 +636,36 @@ def gen_graph_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("edges"), F.min(F.col("weight").between(1, 10) & F.col("src").between(0, 1999)).alias("inside"))
 
 
+@query("gen_sparse", "SELECT CAST(9999 AS BIGINT) AS entries, true AS inside, true AS even")
+def gen_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generators.sparse_matrix(spark, 1000, 0.99).df
+    mean = F.avg("v").between(5.35, 5.65) & F.avg("i").between(480, 520) & F.avg("j").between(480, 520)
+    return rows.agg(F.count("*").alias("entries"), F.min(F.col("v").between(1, 10) & F.col("i").between(0, 999) & F.col("j").between(0, 999)).alias("inside"), mean.alias("even"))
+
+
+@query("gen_features", "SELECT CAST(500 AS BIGINT) AS nodes, true AS normal")
+def gen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generators.features(spark, 500, 128)
+    moments = rows.select("node", F.explode("x").alias("x")).agg(F.countDistinct("node").alias("nodes"), F.avg("x").alias("m"), F.stddev("x").alias("s"))
+    return moments.select("nodes", (F.abs("m").between(0, 0.02) & F.col("s").between(0.98, 1.02)).alias("normal"))
+
+
+@query("gen_presets", "SELECT * FROM (VALUES ('small_a', 500), ('small_b', 500), ('medium_a', 10000), ('large_b', 100000), ('banded', 10970), ('block', 10000)) t(name, entries)")
+def gen_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = generators.presets(spark)
+    counts = [found[n].df.agg(F.count("*").cast("int").alias("entries")).select(F.lit(n).alias("name"), "entries") for n in ("small_a", "small_b", "medium_a", "large_b", "banded", "block")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("gen_memory", "SELECT 100000 * 16 / 1048576::DOUBLE AS memory_mb, 100000 * 25 / 1048576::DOUBLE AS csv_mb")
+def gen_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = generators.estimate_memory(100_000)
+    return spark.createDataFrame([(found["memory_mb"], found["csv_mb"])], "memory_mb double, csv_mb double")
+
+
 # -- streams ------------------------------------------------------------------------------------------
 
 

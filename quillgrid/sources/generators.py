@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions.scalars import below, normal, permuted, uniform
@@ -115,5 +115,5 @@ def dense_matrix(spark: SparkSession, rows: int, cols: int, seed: int = 42) -> S
 
 
 def normalised(degrees: DataFrame) -> DataFrame:
-    """(i, share): row degrees (i, d) as shares of their sum."""
-    return degrees.select("i", (F.col("d") / F.sum("d").over(Window.partitionBy())).alias("share"))
+    """(i, share): row degrees (i, d) as shares of their sum, which is one row that meets all."""
+    return degrees.crossJoin(degrees.agg(F.sum("d").alias("total"))).select("i", (F.col("d") / F.col("total")).alias("share"))
