@@ -51,14 +51,33 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Folders that `stored` has written, by application, oldest first.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: lineage ends, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Folders that this application has stored tables in so far."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    context = spark.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN[context.applicationId].remove(folder)
+
+
 #: Rows that are numbered together, about.
 TOGETHER = 100_000
 

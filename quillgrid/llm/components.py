@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+Results: a link of a node with itself, and one that occurs again, add nothing; a link with a null end is left out; nodes without
+another are not in the result; no links give an empty table.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Large star: each node's larger neighbours are linked to its least neighbour. Small star: its smaller ones
     and itself. Both keep components and bring nodes to the root in a logarithmic number of rounds. Minima are
     aggregated before the shuffle; a hot node's links are joined, never gathered."""
-    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())  # null ends go here
     state = None
     while True:
         both = now.union(now.select("b", "a"))
