@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import mixing, ngram_join, packing, secret_scan, toxicity
-from quillgrid.llm.common import stored, table, tokenizer_path
+from quillgrid.llm.common import discard, stored, table, tokenizer_path, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies all stages to documents, each written and read again. What a stage has stored on its way goes when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        before = written(spark)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs)
+            discard(spark, [f for f in written(spark)[:-1] if f == last or f not in before])
+            last = written(spark)[-1]
     return docs
