@@ -636,7 +636,7 @@ def gen_graph_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("edges"), F.min(F.col("weight").between(1, 10) & F.col("src").between(0, 1999)).alias("inside"))
 
 
-@query("gen_sparse", "SELECT CAST(9999 AS BIGINT) AS entries, true AS inside, true AS even")
+@query("gen_sparse", "SELECT CAST(10000 AS BIGINT) AS entries, true AS inside, true AS even")
 def gen_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generators.sparse_matrix(spark, 1000, 0.99).df
     mean = F.avg("v").between(5.35, 5.65) & F.avg("i").between(480, 520) & F.avg("j").between(480, 520)
