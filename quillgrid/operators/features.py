@@ -44,15 +44,23 @@ def summed(rows: DataFrame, key: str, value: str, weight: Column, dims: int, nam
     return packed(long.groupBy(key, "_d").agg(F.sum(F.col("_w") * F.col("_x")).alias(name)), key, "_d", name, dims)
 
 
+#: Numbers of a layer that is sent to every task: 8 MB.
+LAYER = 1 << 20
+
+
 def multiplied(rows: DataFrame, key: str, value: str, weights: DataFrame, name: str) -> DataFrame:
-    """(key, name array): each array times a matrix (d, e, w). The matrix becomes one row of arrays, as bounded as a layer is (d x e
-    numbers), that meets every row where it lies: nothing is shuffled."""
+    """(key, name array): each array times a matrix (d, e, w). A matrix of up to LAYER numbers, counted first, becomes one row of arrays that
+    meets every row where it lies, so that nothing is shuffled; a larger one is joined by component."""
+    if weights.limit(LAYER + 1).count() > LAYER:
+        joined = unpacked(rows, key, value, "d", "_x").join(weights, "d")
+        return packed(joined.groupBy(key, "e").agg(F.sum(F.col("_x") * F.col("w")).alias(name)), key, "e", name)
     columns = weights.groupBy("e").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "w"))), lambda p: p["w"]).alias("w"))
     layer = columns.agg(F.transform(F.array_sort(F.collect_list(F.struct("e", "w"))), lambda p: p["w"]).alias("_layer"))
     whole = {rows.schema[value].dataType.elementType.typeName(), weights.schema["w"].dataType.typeName()} <= {"long", "integer", "short", "byte"}
-    zero = F.lit(0).cast("bigint" if whole else "double")
+    kind = "bigint" if whole else "double"
+    zero = F.lit(0).cast(kind)
 
     def dot(w: Column) -> Column:
-        return F.aggregate(F.zip_with(value, w, lambda x, y: F.coalesce((x * y).cast("bigint" if whole else "double"), zero)), zero, lambda s, p: s + p)
+        return F.aggregate(F.zip_with(value, w, lambda x, y: F.coalesce((x * y).cast(kind), zero)), zero, lambda s, p: s + p)
 
     return rows.crossJoin(F.broadcast(layer)).select(key, F.transform("_layer", dot).alias(name))

@@ -172,7 +172,7 @@ def long_h(rows):
     return sorted(map(tuple, features.unpacked(rows, "src", "h").collect()))
 
 
-def test_graph_by_hand(spark):
+def test_graph_by_hand(spark, monkeypatch):
     edges = spark.createDataFrame([(0, 1), (0, 1), (2, 0)], "src long, dst long")
     x = spark.createDataFrame([(0, [1]), (1, [10])], "node long, x array<long>")
     assert long_h(graph.aggregate_all(edges, x, 3, 1)) == [(0, 0, 20), (1, 0, 0), (2, 0, 1)]
@@ -181,6 +181,8 @@ def test_graph_by_hand(spark):
     assert long_h(step) == long_h(graph.update_full(edges, new, x)) == [(0, 0, 20), (1, 0, 1), (2, 0, 1)]
     weights = spark.createDataFrame([(0, 0, 2), (0, 1, 3)], "d long, e long, w long")
     assert sorted(map(tuple, features.unpacked(graph.forward(edges, x, weights), "src", "y", "e").collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
+    monkeypatch.setattr(features, "LAYER", 1)  # a layer too large to be sent to every task
+    assert sorted(map(tuple, features.unpacked(graph.forward(edges, x, weights), "src", "y", "e").collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
     some = graph.sample_new_edges(edges, 50, 3)
     assert some.count() == 3 and some.filter("src = dst").count() == 0
 
