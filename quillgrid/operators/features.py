@@ -54,8 +54,16 @@ def multiplied(rows: DataFrame, key: str, value: str, weights: DataFrame, name:
     if weights.limit(LAYER + 1).count() > LAYER:
         joined = unpacked(rows, key, value, "d", "_x").join(weights, "d")
         return packed(joined.groupBy(key, "e").agg(F.sum(F.col("_x") * F.col("w")).alias(name)), key, "e", name)
-    columns = weights.groupBy("e").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "w"))), lambda p: p["w"]).alias("w"))
-    layer = columns.agg(F.transform(F.array_sort(F.collect_list(F.struct("e", "w"))), lambda p: p["w"]).alias("_layer"))
+
+    def placed(by: str, v: str) -> tuple[Column, Column]:
+        """The values by place, as a map, and the last place."""
+        return F.map_from_entries(F.collect_list(F.struct(F.col(by).cast("int"), F.col(v)))).alias("_m"), F.max(F.col(by).cast("int")).alias("_top")
+
+    def by_place(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), "_top"), lambda k: F.try_element_at("_m", k)).alias(name)
+
+    columns = weights.groupBy("e").agg(*placed("d", "w")).select("e", by_place("w"))
+    layer = columns.agg(*placed("e", "w")).select(by_place("_layer"))
     whole = {rows.schema[value].dataType.elementType.typeName(), weights.schema["w"].dataType.typeName()} <= {"long", "integer", "short", "byte"}
     kind = "bigint" if whole else "double"
     zero = F.lit(0).cast(kind)

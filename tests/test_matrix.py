@@ -181,6 +181,9 @@ def test_graph_by_hand(spark, monkeypatch):
     assert long_h(step) == long_h(graph.update_full(edges, new, x)) == [(0, 0, 20), (1, 0, 1), (2, 0, 1)]
     weights = spark.createDataFrame([(0, 0, 2), (0, 1, 3)], "d long, e long, w long")
     assert sorted(map(tuple, features.unpacked(graph.forward(edges, x, weights), "src", "y", "e").collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
+    gaps = spark.createDataFrame([(2, 1, 5), (0, 3, 2)], "d long, e long, w long")
+    wide = spark.createDataFrame([(7, [1, 2, 3])], "src long, h array<long>")
+    assert sorted(map(tuple, features.unpacked(graph.transform(wide, gaps), "src", "y", "e").collect())) == [(7, 1, 15), (7, 3, 2)]
     monkeypatch.setattr(features, "LAYER", 1)  # a layer too large to be sent to every task
     assert sorted(map(tuple, features.unpacked(graph.forward(edges, x, weights), "src", "y", "e").collect())) == [(0, 0, 40), (0, 1, 60), (2, 0, 2), (2, 1, 3)]
     some = graph.sample_new_edges(edges, 50, 3)
