@@ -56,22 +56,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def term_counts(text: Column) -> Column:
-    """array<struct<term, n>>: the hashes of a text's distinct words and their counts."""
+    """array<struct<term, n>>: the hashes of a text's distinct words and their counts; what blanks at its ends leave comes as the empty word."""
 
-    def lasts(sorted_: Column) -> Column:
-        each = F.transform(sorted_, lambda x, i: F.struct(x.alias("term"), i.alias("at"), F.coalesce(F.get(sorted_, i + 1) != x, F.lit(True)).alias("last")))
-        return F.filter(each, lambda e: e["last"])
+    def ends(terms: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.coalesce(F.get(terms, i + 1) != F.get(terms, i), F.lit(True)))
 
-    def counted(ends: Column) -> Column:
-        return F.transform(ends, lambda e, k: F.struct(e["term"].alias("term"), (e["at"] - F.coalesce(F.get(ends, k - 1)["at"], F.lit(-1))).alias("n")))
+    def counted(terms: Column) -> Column:
+        return _let(ends(terms), lambda last: F.transform(last, lambda e, k: F.struct(F.get(terms, e).alias("term"), (e - F.coalesce(F.get(last, k - 1), F.lit(-1))).alias("n"))))
 
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
-    return _let(_let(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), lasts), counted)
+    return _let(F.sort_array(F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))), counted)
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
     """(keys, signature array<int>) of texts that have terms. Rows must lie by a subset of keys for no shuffle to be needed."""
     each = texts.select(*keys, F.explode(term_counts(F.col(text_col))).alias("t")).select(*keys, F.col("t.term").alias("term"), F.log("t.n").alias("log_weight"))
+    each = each.filter(F.col("term") != F.xxhash64(F.lit("")))
     least = each.groupBy(*keys).agg(*(F.min(_packed_sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)))
     return least.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples))).alias("signature"))
 
@@ -120,26 +119,16 @@ def _doc_id() -> Column:
 def edited_fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, that of the text edited with the next document's beginning, and their likeness."""
     docs, groups = _keyed(df, id_col, text_col)
-    order, key = stored(_nexts(groups)), list(_KEY)
-    # what a key's last row needs of the next key, and its other rows of the key itself
-    own = F.struct(*_KEY)
-    asks = F.array(F.struct(F.lit(0).alias("turn"), F.col("next").alias("next"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(1).alias("turn"), own.alias("next"), (F.col("rows") - 1).alias("times")))
-    asked = order.select(*key, F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.explode(F.filter(asks, lambda a: a["times"] > 0)).alias("ask")).select(*key, "half", "ask.*")
-    heads = docs.join(asked.select(F.struct(*_KEY).alias("asking"), "half", "turn", "times", "next.*"), key)
-    heads = heads.select("asking.*", "turn", "times", own.alias("next"), F.expr("substring(text, 1, half)").alias("head"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    both = docs.join(heads, key).select(*key, "turn", "times", "next", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.col("head")).alias("edited"))
-    sides = both.select(*key, "turn", F.posexplode(F.array("text", "edited")).alias("side", "text"))
-    none = F.array_repeat(F.lit(_MASK), samples)
-    each = signatures(sides, [*key, "turn", "side"], "text", samples)
-    pairs = each.groupBy(*key, "turn").agg(*(F.max(F.when(F.col("side") == s, F.col("signature"))).alias(n) for s, n in enumerate(("own", "changed"))))
-    plain = both.select(*key, "turn", "times", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    known = stored(plain.join(pairs, [*key, "turn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own", "changed")}))
-    after = known.filter("turn = 0").select(own.alias("next"), F.col("own").alias("following"))
+    order, own = stored(_nexts(groups)), F.struct(*_KEY)
+    # a key's last row needs the next key, its other rows the key itself
+    known = _edited(docs, order.select(*_KEY, "n_chars", "next", F.lit(1).cast("long").alias("times")), samples)
+    after = known.select(own.alias("next"), F.col("own").alias("following"))
+    if not groups.filter("rows > 1").isEmpty():
+        known = known.unionByName(_edited(docs, order.filter("rows > 1").select(*_KEY, "n_chars", own.alias("next"), (F.col("rows") - 1).alias("times")), samples))
     found = known.join(after, "next").select(
         _doc_id(),
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("sha")).alias("edited_sha256"),
         _hex(F.col("own")).alias("fingerprint"),
         _hex(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
@@ -149,6 +138,21 @@ def edited_fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "do
     return found.drop("row")
 
 
+def _edited(docs: DataFrame, asked: DataFrame, samples: int) -> DataFrame:
+    """(key, n_chars, next, times, sha, own, changed) for each key that asks for the beginning of its next text."""
+    key = list(_KEY)
+    heads = docs.join(asked.select(F.struct(*_KEY).alias("asking"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), "times", "next.*"), key)
+    heads = heads.select("asking.*", "times", F.struct(*_KEY).alias("next"), F.expr("substring(text, 1, half)").alias("head"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    both = docs.join(heads, key).select(*key, "times", "next", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.col("head")).alias("edited"))
+    sides = both.select(*key, F.posexplode(F.array("text", "edited")).alias("side", "text"))
+    none = F.array_repeat(F.lit(_MASK), samples)
+    each = signatures(sides, [*key, "side"], "text", samples)
+    pairs = each.groupBy(*key).agg(*(F.max(F.when(F.col("side") == s, F.col("signature"))).alias(n) for s, n in enumerate(("own", "changed"))))
+    plain = both.select(*key, "times", "next", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"))
+    return stored(plain.join(pairs, key, "left").withColumns({c: F.coalesce(c, none) for c in ("own", "changed")}))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
