@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,7 +39,7 @@ LOCAL_DIR = "file:///tmp/checkpoints/quillgrid"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; an error where it is unset and the master isn't local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or LOCAL_DIR).rstrip('/')}/{uuid.uuid4().hex}"
 

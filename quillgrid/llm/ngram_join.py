@@ -7,7 +7,8 @@ candidates out, a suffix filter precedes the exact verification, and a pair is v
 
 A shingle's documents are not expanded into all pairs. They are dealt into parts, more of a frequent shingle. In each
 the one that has the shingle foremost leads: it is paired with each of the others, and the foremost leader with
-the other parts' leaders. When these pairs have been verified and linked documents joined into components, only documents of a shingle that are still in different components are paired, in blocks.
+the other parts' leaders. When these pairs have been verified and linked documents joined into components, only documents of a shingle that are still in different components are paired, in blocks, and held against
+each other by digests of their sets first.
 So no link between components is lost. Texts of equal sets are one node from the start.
 
 Results: null and empty texts have 0 shingles and link with nothing; a null id links with nothing and its
@@ -18,7 +19,7 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +196,17 @@ def _pairs(a, b):
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. Only texts that occur in a pair, by a filter of fixed size, are hashed again and shuffled."""
+    """The pairs (a, b) that link, by their whole sets."""
+    return _compared(docs, pairs, lambda s: s.tobytes(), lambda x, y: _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+
+
+def _thinned(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that may link, by digests of a sixteenth of the sets' size: none that links is lost."""
+    return _compared(docs, pairs, _digest, _may_link)
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, encode: Callable[[np.ndarray], bytes], accept: Callable[[object, object], bool]) -> DataFrame:
+    """The pairs (a, b) whose encoded sets are accepted. Only texts that occur in a pair, by a filter sized by their number, are hashed again and shuffled."""
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     bits = min(MOST_BITS, 1 << max(20, (16 * ends.count()).bit_length()))
 
@@ -216,7 +227,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             k, p = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = np.flatnonzero((flag[k * size + p // 8] >> (p % 8).astype(np.uint8)) & 1)
             for part in slices(batch.take(pa.array(keep)), 1, TEXTS):
-                found = [s.tobytes() for s in shingle_sets([t or "" for t in part.column(1).to_pylist()])]
+                found = [encode(s) for s in shingle_sets([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "s"])
 
     # sets are dealt by document once, then go with a pair; at any size, so never as a broadcast
@@ -227,12 +238,40 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sa, sb = batch.columns
-            ok = [_linked(np.frombuffer(sa[k].as_buffer(), np.uint64), np.frombuffer(sb[k].as_buffer(), np.uint64)) for k in range(batch.num_rows)]
+            ok = [accept(sa[k].as_buffer(), sb[k].as_buffer()) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok, pa.bool_())), b.filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
     return in_workers(joined, "near duplicates", verify, "a long, b long")
 
 
+#: A digest's counts stop here, and stand for any number from here on.
+FULL = 15
+
+
+def _digest(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of as many ranges as half of it, about: its size, then four bits a range."""
+    bits = max(1, (len(s) // 2).bit_length())
+    counts = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8)
+    return len(s).to_bytes(8, "little") + (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def _counts(raw: np.ndarray) -> np.ndarray:
+    out = np.empty(2 * len(raw), np.int64)
+    out[0::2], out[1::2] = raw & 15, raw >> 4
+    out[out == FULL] = 1 << 40
+    return out
+
+
+def _may_link(x, y) -> bool:
+    """The suffix filter on digests: in no range do two sets share more than the smaller count, and the sum must reach what a link needs."""
+    n, m = (int.from_bytes(bytes(raw[:8]), "little") for raw in (x, y))
+    p, q = (_counts(np.frombuffer(raw, np.uint8, offset=8)) for raw in (x, y))
+    if len(p) < len(q):
+        p, q = q, p
+    p = p.reshape(len(q), -1).sum(axis=1)
+    return (100 + PER_CENT) * int(np.minimum(p, q).sum()) >= PER_CENT * (n + m)
+
+
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     """The exact decision; before it the suffix filter: between pivots the sets share no more than the smaller part."""
     need = -(-PER_CENT * (len(x) + len(y)) // (100 + PER_CENT))
@@ -316,7 +355,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # documents of a shingle, its leader apart, that are not in one component yet
     rooted = members.filter("more").select("key", "doc", "n", "at").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     more = stored(_blocks(rooted).join(led, ["a", "b"], "left_anti"))
-    found = stored(_verified(docs, more))
+    found = stored(_verified(docs, stored(_thinned(docs, more))))
     if not found.isEmpty():
         roots = components(links.union(found))
     joined = sizes.join(roots, F.col("doc_id") == F.col("node"), "left")

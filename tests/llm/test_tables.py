@@ -120,6 +120,29 @@ def test_near_duplicates_hot(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_digests_lose_no_link():
+    """Pairs that link are never thinned out, at the edge of the similarity, at all sizes; most others are."""
+    r, kept, far = np.random.default_rng(4), 0, 0
+    for n in (1, 2, 3, 5, 9, 40, 41, 300, 1023, 1024, 5000):
+        for _ in range(40):
+            pool = np.unique(r.integers(0, 1 << 63, 4 * n + 4, dtype=np.uint64) * np.uint64(2))
+            r.shuffle(pool)
+            share = r.uniform(0.2, 1.0)
+            x, extra = pool[:n], pool[n : 2 * n]
+            y = np.concatenate([x[: max(1, int(share * n))], extra[: int(r.uniform(0, 0.3) * n)]])
+            x, y = np.sort(x), np.sort(y)
+            common = len(np.intersect1d(x, y))
+            may = ngram_join._may_link(ngram_join._digest(x), ngram_join._digest(y))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                assert may and ngram_join._linked(x, y)
+            elif n >= 40 and common < 0.6 * n:
+                far += 1
+                kept += may
+    assert kept < 0.05 * far
+    crowded = np.sort(np.concatenate([np.arange(1, 400, dtype=np.uint64), np.uint64(1 << 63) + np.arange(3, dtype=np.uint64)]))
+    assert ngram_join._may_link(ngram_join._digest(crowded), ngram_join._digest(crowded[5:]))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -163,7 +186,7 @@ def test_fingerprints_agree_as_often_as_counts(spark):
 
 def test_term_counts(spark):
     got = spark.createDataFrame([("b a  b\t b c a",), ("",), ("  ",)], "t string").select(fingerprints.term_counts(F.col("t")).alias("c")).collect()
-    assert [sorted(x.n for x in r.c) for r in got] == [[1, 2, 3], [], []]
+    assert [sorted(x.n for x in r.c) for r in got] == [[1, 2, 3], [1], [2]]  # the empty word is dropped later
 
 
 def test_fingerprints_odd(spark, odd, none):
@@ -478,3 +501,30 @@ def test_pipeline(spark, tmp_path):
     copies = Counter(r.doc_id for r in seen["mixing"])
     assert sum(r.length for r in seen["packing"] if r.start == 0) > 0 and {r.doc_id for r in seen["packing"]} == set(copies)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Nulls, empty and long texts, repeated and missing ids, columns of any name, no labels: each stage keeps rows and columns as it should."""
+    rows = [*ODD, (6, prose(66, 12), "src1"), (None, prose(67, 12), "src2"), (None, None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = docs.collect()
+    assert len(seen["toxicity"]) == len(rows)
+    texts = Counter((r.doc_id, r.text) for r in seen["near duplicates"])
+    assert texts[(6, ODD[5][1])] == 1 and texts[(6, prose(66, 12))] == 1 and (7, ODD[7][1]) not in texts and texts[(None, prose(67, 12))] == 1
+    assert len(seen["secrets"]) == len(seen["near duplicates"])
+    assert max(Counter((r.doc_id, r.text) for r in seen["mixing"]).values()) <= 2 and all(words(r.text) for r in seen["mixing"])
+    assert sum(r.start == 0 for r in seen["packing"]) == len(seen["mixing"])
+
+
+def test_pipeline_empty(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
