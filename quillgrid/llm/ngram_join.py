@@ -287,13 +287,30 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """Pairs of a shingle's documents in different components that pass the filters; blocks of about ROWS rows meet each other once."""
+    """Pairs of a shingle's documents in different components that pass the filters.
+
+    Up to ROWS rows of a shingle meet in one cell. Of more, those of its largest component need not meet each other: they and the others fall into
+    blocks of about ROWS, each block of theirs meets each of the others' (lo, hi, from 0), and the others' blocks meet among
+    themselves (lo and hi, below 0). So rows are copied once for each block of others, not for each of all."""
     counted = rest.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    blocks = F.ceil(F.col("rows") / ROWS)
-    rows = rest.join(counted.select("key", "rows"), "key").withColumn("k", F.pmod(F.xxhash64("doc"), blocks))
-    # a row goes to each pair of blocks that has its own; hi is the larger number
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("key", "doc", "n", "at", "root", "k", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"))
+    met = rest.join(counted.select("key", "rows"), "key")
+    none = F.lit(0).cast("long")
+    cold = met.filter(F.col("rows") <= ROWS).select("key", "doc", "n", "at", "root", none.alias("side"), none.alias("k"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))
+    hot = met.filter(F.col("rows") > ROWS)
+    tops = hot.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"))
+    hot = hot.join(tops, "key").withColumn("side", F.when(F.col("root") == F.col("top.root"), 1).otherwise(0).cast("long"))
+    theirs, others = F.ceil(F.col("top.n") / ROWS), F.ceil((F.col("rows") - F.col("top.n")) / ROWS)
+    hot = hot.withColumn("k", F.pmod(F.xxhash64("doc"), F.when(F.col("side") == 1, theirs).otherwise(others)))
+
+    def cell(low, high):
+        return F.struct(low.cast("long").alias("lo"), high.cast("long").alias("hi"))
+
+    k = F.col("k")
+    to_theirs = F.transform(F.sequence(none, theirs - 1), lambda t: cell(t, k))
+    among = F.transform(F.sequence(none, others - 1), lambda o: cell(-1 - F.greatest(o, k), -1 - F.least(o, k)))
+    cells = F.when(F.col("side") == 1, F.transform(F.sequence(none, others - 1), lambda o: cell(k, o))).otherwise(F.concat(to_theirs, among))
+    hot = hot.select("key", "doc", "n", "at", "root", "side", "k", F.explode(cells).alias("cell")).select("key", "doc", "n", "at", "root", "side", "k", "cell.*")
+    rows = cold.unionByName(hot)
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
@@ -302,7 +319,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            key, _, _, _, _, _, lo, hi = held
+            key, lo, hi = held[0], held[-2], held[-1]
             new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             if len(new):
                 yield from _met([c[: new[-1]] for c in held], np.concatenate([[0], new]))
@@ -319,7 +336,7 @@ TOGETHER = 500_000
 
 def _met(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The pairs of whole runs of rows; runs of one size are taken together."""
-    _, doc, n, at, root, k, lo, hi = columns
+    _, doc, n, at, root, side, k, lo, hi = columns
     sizes = np.diff(bounds)
     for size in np.unique(sizes[sizes > 1]).tolist():
         starts = bounds[:-1][sizes == size]
@@ -330,7 +347,7 @@ def _met(columns: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBat
                 j = i + np.arange(1, size - row)
                 small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
                 fewer = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)
-                ok = (root[i] != root[j]) & (100 * small >= PER_CENT * large) & ((100 + PER_CENT) * fewer >= PER_CENT * (small + large)) & (doc[i] != doc[j]) & ((lo[i] == hi[i]) | (k[i] != k[j]))
+                ok = (root[i] != root[j]) & (100 * small >= PER_CENT * large) & ((100 + PER_CENT) * fewer >= PER_CENT * (small + large)) & (doc[i] != doc[j]) & np.where(lo[i] >= 0, side[i] != side[j], (lo[i] == hi[i]) | (k[i] != k[j]))
                 if ok.any():
                     a, b = np.broadcast_to(doc[i], j.shape)[ok], doc[j][ok]
                     found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
