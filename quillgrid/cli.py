@@ -1,4 +1,4 @@
-"""Command line: generate, sort, add, multiply, verify."""
+"""Command line: generate, sort, add, multiply, benchmark, verify."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from quillgrid.operators import algebra, verify
-from quillgrid.plans import runs
+from quillgrid.operators import algebra, graph, verify
+from quillgrid.plans import reports, runs
 from quillgrid.sources import coo, generators
+from quillgrid.sources.workspace import workspace
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +39,15 @@ def parser() -> argparse.ArgumentParser:
         two.add_argument("out")
         two.add_argument("--double", action="store_true")
         two.add_argument("--report", help="folder for the run's record as JSON: sizes, shapes, densities, phases")
+    bench = commands.add_parser("benchmark", help="time two ways against each other and write the record")
+    bench.add_argument("kind", choices=("parallel", "dense", "updates"), help="parallel or serial, sparse or dense products of two files; full or incremental updates of an edge list's aggregate")
+    bench.add_argument("a")
+    bench.add_argument("b", nargs="?", help="the second matrix")
+    bench.add_argument("--operation", choices=("add", "multiply"), default="multiply")
+    bench.add_argument("--runs", type=int, default=3)
+    bench.add_argument("--dims", type=int, default=128)
+    bench.add_argument("--added", type=int, nargs="+", default=[1, 2, 3])
+    bench.add_argument("--report", help="folder for the records as JSON")
     same = commands.add_parser("verify", help="compare two coordinate files")
     same.add_argument("a")
     same.add_argument("b")
@@ -67,6 +77,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command in ("add", "multiply"):
         a, b = (coo.read_coo(spark, p, double=args.double) for p in (args.a, args.b))
         coo.write_coo(algebra.add(a, b) if args.command == "add" else algebra.multiply(a, b), args.out)
+    elif args.command == "benchmark":
+        if args.kind == "updates":
+            edges = coo.read_edges(spark, args.a)
+            x = generators.features(spark, graph.node_count(edges), args.dims)
+            record = runs.full_or_incremental(spark, edges, x, args.dims, workspace(spark, "benchmark"), args.added)
+        else:
+            if args.b is None:
+                raise SystemExit("a second matrix is needed")
+            a, b = (coo.read_coo(spark, p) for p in (args.a, args.b))
+            work = algebra.add if args.operation == "add" else algebra.multiply
+            record = runs.sparse_or_dense(spark, a, b, args.runs) if args.kind == "dense" else runs.parallel_or_serial(spark, lambda: work(a, b).df, args.runs)
+        print(reports.as_text(record, args.kind))
+        if args.report:
+            coo.write_report(record, args.report)
     else:
         a, b = (coo.read_coo(spark, p, double=True) for p in (args.a, args.b))
         same = verify.equal(a, b, args.tolerance)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions.scalars import stamp, winner
 from quillgrid.matrix import SparseMatrix
 from quillgrid.operators import algebra, graph
-from quillgrid.plans import reports
+from quillgrid.plans import reports, strategy
 from quillgrid.sources import coo
 
 RECORD = (
@@ -34,18 +35,24 @@ def _density(nnz: int, shape: tuple[int, int]) -> float:
     return 100.0 * nnz / cells if cells else 0.0
 
 
+def fitting(a: SparseMatrix, b: SparseMatrix, operation: str) -> tuple[SparseMatrix, SparseMatrix]:
+    """Merged, with sizes; sizes that are only inferred from entries are widened until they fit the operation."""
+    inferred, (a, b) = a.shape is None and b.shape is None, (m.merged().with_shape() for m in (a, b))
+    if not inferred:
+        return a, b
+    if operation == "add":
+        both = tuple(max(x, y) for x, y in zip(a.shape, b.shape, strict=True))
+        return replace(a, shape=both), replace(b, shape=both)
+    inner = max(a.shape[1], b.shape[0])
+    return replace(a, shape=(a.shape[0], inner)), replace(b, shape=(inner, b.shape[1]))
+
+
 def run(spark: SparkSession, operation: str, path_a: str, path_b: str, out: str, shapes: tuple | None = None, double: bool = False) -> DataFrame:
     """Adds or multiplies two coordinate files, writes the result, and returns one record: sizes, shapes, densities, multiplications and additions
     (two a product), seconds by phase, entries a second, time of the run."""
     clock = _Clock()
     shape_a, shape_b = shapes or (None, None)
-    a, b = (coo.read_coo(spark, p, s, double=double).merged().with_shape() for p, s in ((path_a, shape_a), (path_b, shape_b)))
-    if shapes is None and operation == "add":  # sizes that are only inferred needn't agree
-        both = tuple(max(x, y) for x, y in zip(a.shape, b.shape, strict=True))
-        a, b = SparseMatrix(a.df, both, True), SparseMatrix(b.df, both, True)
-    elif shapes is None:
-        inner = max(a.shape[1], b.shape[0])
-        a, b = SparseMatrix(a.df, (a.shape[0], inner), True), SparseMatrix(b.df, (inner, b.shape[1]), True)
+    a, b = fitting(*(coo.read_coo(spark, p, s, double=double) for p, s in ((path_a, shape_a), (path_b, shape_b))), operation)
     nnz_a, nnz_b = a.nnz(), b.nnz()
     read = clock.lap()
     c = {"add": algebra.add, "multiply": algebra.multiply}[operation](a, b)
@@ -85,6 +92,20 @@ def parallel_or_serial(spark: SparkSession, work: Callable[[], DataFrame], runs:
     return one.withColumn("speedup", speedup).withColumn("winner", winner(speedup, "parallel", "serial"))
 
 
+def sparse_or_dense(spark: SparkSession, a: SparseMatrix, b: SparseMatrix, runs: int = 3) -> DataFrame:
+    """One record: mean and deviation of the seconds that a product takes sparse and dense, speedup, winner, densities, MB of the operands either way."""
+    a, b = fitting(a, b, "multiply")
+    ways = (("sparse", lambda: algebra.multiply(a, b).df), ("dense", lambda: algebra.dense_multiply(a, b)))
+    times = reports.timed(spark, *ways[0], runs=runs).unionByName(reports.timed(spark, *ways[1], runs=runs))
+    each = reports.summary(times)
+    sides = [each.filter(F.col("name") == n).select(F.col("mean").alias(f"{n}_s"), F.col("std").alias(f"{n}_std")) for n, _ in ways]
+    nnz_a, nnz_b = a.nnz(), b.nnz()
+    sizes = [F.lit(x).alias(n) for n, x in (("nnz_a", nnz_a), ("nnz_b", nnz_b), ("density_a_pct", _density(nnz_a, a.shape)), ("density_b_pct", _density(nnz_b, b.shape)))]
+    speedup = F.col("dense_s") / F.col("sparse_s")
+    record = sides[0].crossJoin(sides[1]).crossJoin(strategy.memory_footprint(a, b))  # a row each
+    return record.select(*sizes, "*", speedup.alias("speedup"), winner(speedup, "sparse", "dense").alias("winner"))
+
+
 def full_or_incremental(spark: SparkSession, edges: DataFrame, features: DataFrame, dims: int, folder: str, added: Iterable[int] = (1, 2, 3), seed: int = 42) -> DataFrame:
     """A record for each number of new edges: seconds to work the aggregate out anew and to update the stored one (its touched
     buckets are read, merged and written), speedup, winner, and whether the two agree."""

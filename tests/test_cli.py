@@ -87,3 +87,15 @@ def test_harnesses(spark, tmp_path):
     assert [(r.edges_added, r.agree) for r in found] == [(1, True), (3, True)] and all(r.winner in ("full", "incremental") for r in found)
     one = runs.parallel_or_serial(spark, lambda: edges.groupBy("src").count(), runs=1).first()
     assert one.speedup > 0 and one.winner in ("parallel", "serial")
+
+
+def test_benchmarks(spark, tmp_path):
+    a = SparseMatrix.from_entries(spark, [(0, 0, 1), (0, 2, 2), (1, 1, 3)])
+    coo.write_coo(a, f"{tmp_path}/a")
+    for kind in ("parallel", "dense"):
+        assert run(spark, "benchmark", kind, f"{tmp_path}/a", f"{tmp_path}/a", "--runs", 1, "--report", f"{tmp_path}/{kind}") == 0
+        assert coo.read_report(spark, f"{tmp_path}/{kind}", lines=True).first().winner in (kind, "serial", "sparse")
+    (tmp_path / "g.csv").write_text("0,1\n1,2\n2,0\n5,1\n")
+    assert run(spark, "benchmark", "updates", f"{tmp_path}/g.csv", "--dims", 3, "--added", 2, "--report", f"{tmp_path}/u") == 0
+    r = coo.read_report(spark, f"{tmp_path}/u", lines=True).first()
+    assert r.edges_added == 2 and r.agree and r.winner in ("full", "incremental")
