@@ -39,7 +39,7 @@ STRETCH, STEP = 1 << 20, 128
 #: Characters of a piece that is remembered.
 LONGEST = 256
 #: Bytes of pieces that a worker remembers, about.
-MEMORY = 96 << 20
+MEMORY = 144 << 20
 
 
 class Encoder:
@@ -154,23 +154,27 @@ class Stream:
 def best_windows(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, limit: int, last: bool) -> np.ndarray:
     """The windows' bounds, 0 and the stretch's length included, of least cost."""
     n = len(ids)
-    after = np.flatnonzero(sentence[ids]) + 1
-    cuts = np.union1d(np.union1d(after, ends), [0])
+    after, is_end, is_cut = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    after[1:] = sentence[ids]
+    is_end[ends] = True
+    np.logical_or(after, is_end, out=is_cut)
+    is_cut[0] = True
+    cuts = np.flatnonzero(is_cut)
     step = min(STEP, limit)
-    wide = np.flatnonzero(np.diff(cuts) > min(2 * STEP, limit))
-    more = [np.arange(cuts[k] + step, cuts[k + 1], step) for k in wide]
+    for k in np.flatnonzero(np.diff(cuts) > min(2 * STEP, limit)).tolist():
+        is_cut[cuts[k] + step : cuts[k + 1] : step] = True
     powers = limit >> np.arange(limit.bit_length())
-    tail = n - np.unique(np.concatenate([powers, (powers[:, None] + powers).ravel()])) if last else []
-    at = np.unique(np.concatenate([cuts, *more, tail]).astype(np.int64))
-    at = at[(at >= 0) & (at <= n)]
-    cost = np.full(len(at), ELSEWHERE)
-    cost[np.isin(at, after)] = AFTER_SENTENCE
-    cost[np.isin(at, ends)] = 0.0
+    if last:
+        tail = n - np.unique(np.concatenate([powers, (powers[:, None] + powers).ravel()]))
+        is_cut[tail[tail >= 0]] = True
+    at = np.flatnonzero(is_cut)
+    cost = np.where(is_end[at], 0.0, np.where(after[at], AFTER_SENTENCE, ELSEWHERE))
     exact: dict[int, list[int]] = {}  # cuts a power of two before
     for p in powers.tolist():
-        k = np.searchsorted(at, at - p)
-        for i in np.flatnonzero((at >= p) & (at[np.minimum(k, len(at) - 1)] == at - p)).tolist():
-            exact.setdefault(i, []).append(int(k[i]))
+        low = int(np.searchsorted(at, p))
+        hits = np.flatnonzero(is_cut[at[low:] - p]) + low
+        for i, k in zip(hits.tolist(), np.searchsorted(at, at[hits] - p).tolist(), strict=True):
+            exact.setdefault(i, []).append(k)
     place, price = at.tolist(), (cost + WINDOW).tolist()
     least, back = [0.0] * len(place), [0] * len(place)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(q) + q rising, q, its number
