@@ -23,7 +23,7 @@ from .common import ENTRY, byte_letters, in_workers, slices, table, tokenizer_pa
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Bytes of pieces that a worker remembers, about; beyond, its memory starts anew.
-MEMORY = 128 << 20
+MEMORY = 256 << 20
 
 
 #: The vocabulary's own splitting rule for lower-cased Latin-1 text (fixed values: its letters, its numerals, white space).
