@@ -91,6 +91,30 @@ def test_laws(spark):
     assert algebra.densify(a).count() == 63
 
 
+def test_densify_shuffles_no_cells(spark):
+    """Tiles that the shape cuts off, entries outside of it, a full matrix; what is shuffled grows with entries and tiles, not with cells."""
+    for rows, cols, n in ((0, 5, 0), (1, 5000, 40), (5000, 1, 40), (33, 257, 300), (17, 300, 20_000)):
+        a = randomly(spark, rows, cols, n, rows) if n else m(spark, [], (rows, cols))
+        outside = m(spark, [(-1, 0, 9), (0, -1, 9), (rows, 0, 9), (0, cols, 9)])
+        got = algebra.densify(SparseMatrix(a.df.unionByName(outside.df), (rows, cols)))
+        cells, want = [tuple(r) for r in got.collect()], {(i, j): v for i, j, v in a.merged().collect()}
+        assert sorted(cells) == [(i, j, want.get((i, j), 0)) for i in range(rows) for j in range(cols)]
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = algebra.densify(m(spark, [(0, 0, 1), (999, 999, 2)], (1000, 1000)))._jdf.queryExecution().executedPlan()
+        assert plan.execute().count() == 1_000_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    def shuffled(node):
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if node.nodeName() == "Exchange" else 0
+        return own + sum(shuffled(node.children().apply(k)) for k in range(node.children().size()))
+
+    assert 0 < shuffled(plan) < 1000
+
+
 def test_verification(spark):
     a, b = m(spark, [(0, 0, 1), (0, 1, 2)]), m(spark, [(0, 0, 1), (1, 1, 4)])
     assert verify.max_abs_diff(a, b).first()[0] == 4
